@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import documents
+from .mixing import OP2_SQL, mix
 from .sharding import shard_slots
 
 
@@ -14,8 +16,16 @@ def op8_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_slots(documents(spark, sf_dir), shards=24)
 
 
+def op2_hash_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = (F.col("size") * F.col("copies")).alias("taken")
+    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", taken)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_hash_mixing": op2_hash_mixing,
     "op8_jump_sharding": op8_jump_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_hash_mixing": OP2_SQL,
+}
