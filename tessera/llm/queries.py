@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import documents
 from .mixing import OP2_SQL, mix
+from .packing import pack
 from .sharding import shard_slots
 
 
@@ -21,8 +22,13 @@ def op2_hash_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", taken)
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir), capacity=2048)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_hash_mixing": op2_hash_mixing,
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op8_jump_sharding": op8_jump_sharding,
 }
 
