@@ -11,6 +11,7 @@ from .common import documents
 from .mixing import OP2_SQL, mix
 from .packing import pack
 from .sharding import shard_slots
+from .simhash import near_duplicates
 
 
 def op8_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,9 +27,14 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), capacity=2048)
 
 
+def op6_pigeonring_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir), width=4, limit=4)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_hash_mixing": op2_hash_mixing,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op6_pigeonring_simhash": op6_pigeonring_simhash,
     "op8_jump_sharding": op8_jump_sharding,
 }
 
