@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents
+from .forest import nearest
 from .mixing import OP2_SQL, mix
 from .packing import pack
 from .sharding import shard_slots
@@ -31,11 +32,17 @@ def op6_pigeonring_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), width=4, limit=4)
 
 
+def op9_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return nearest(vectors, vectors.filter(F.col("vec_id") % 100 == 0), k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_hash_mixing": op2_hash_mixing,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_pigeonring_simhash": op6_pigeonring_simhash,
     "op8_jump_sharding": op8_jump_sharding,
+    "op9_projection_forest": op9_projection_forest,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -70,15 +70,28 @@ def _bits(f: Column, shift: int, n: int) -> Column:
     return F.shiftrightunsigned(f, shift).bitwiseAND(F.lit((1 << n) - 1))
 
 
-def _keys(limit: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    """For each join key: the segment its chain starts from, and the bit ranges that are equal."""
+def _keys(limit: int, depth: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    """For each join key: the segment its chain starts from, and the bit ranges that are equal.
+
+    Depth 2: two segments may differ in one bit, so the first and half of the
+    second are equal.  Depth 3, from a limit of 2: three segments may differ in
+    two bits and the first two in one, so besides the first, one half of each
+    other or both halves of the second are equal: longer keys, but more of them.
+    """
     seg, out = _segments(limit), []
+    if limit == 0:
+        return [(0, [(0, 64)])]
+
+    def halves(k: int) -> list[tuple[int, int]]:
+        shift, n = seg[k % len(seg)]
+        return [(shift, n // 2), (shift + n // 2, n - n // 2)]
+
     for i, first in enumerate(seg):
-        if limit == 0:
-            return [(0, [(0, 64)])]
-        shift, n = seg[(i + 1) % len(seg)]
-        # two segments' share of the limit is 2 * limit / (limit + 1), so one bit at most
-        out += [(i, [first, (shift, n // 2)]), (i, [first, (shift + n // 2, n - n // 2)])]
+        if depth == 2 or limit < 2:
+            out += [(i, [first, h]) for h in halves(i + 1)]
+        else:
+            out += [(i, [first, h, g]) for h in halves(i + 1) for g in halves(i + 2)]
+            out.append((i, [first, *halves(i + 1)]))
     return out
 
 
@@ -100,13 +113,13 @@ def _chain(x: Column, start: Column, limit: int) -> Column:
     return out
 
 
-def linked_pairs(fps: DataFrame, limit: int = 4) -> DataFrame:
+def linked_pairs(fps: DataFrame, limit: int = 4, depth: int = 2) -> DataFrame:
     """(u, v) with u < v: all pairs of the distinct fingerprints ``fps`` (f) within ``limit`` bits.
 
     A pair that meets under several keys is kept under the first only, so it
     comes out once and nothing needs to be made distinct.
     """
-    keys = _keys(limit)
+    keys = _keys(limit, depth)
     rows = []
     for k, (start, equal) in enumerate(keys):
         key, width = F.lit(0).cast("long"), 0
@@ -137,9 +150,9 @@ def linked_pairs(fps: DataFrame, limit: int = 4) -> DataFrame:
     return a.join(b, on).select(F.col("a.f").alias("u"), F.col("b.f").alias("v"))
 
 
-def fingerprint_classes(fps: DataFrame, limit: int = 4) -> DataFrame:
+def fingerprint_classes(fps: DataFrame, limit: int = 4, depth: int = 2) -> DataFrame:
     """(f, root) for the distinct fingerprints ``fps`` (f); root stands for the component."""
-    pairs = linked_pairs(fps, limit)
+    pairs = linked_pairs(fps, limit, depth)
     comp = durable(connected_components(pairs))
     alone = fps.join(comp, fps["f"] == comp["node"], "left_anti").select("f", F.col("f").alias("root"))
     return comp.select(F.col("node").alias("f"), "root").union(alone)
@@ -168,7 +181,7 @@ def near_duplicates(
     )
 
 
-def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, limit: int = 4) -> DataFrame:
+def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, limit: int = 6, depth: int = 3) -> DataFrame:
     """The rows of ``df`` without near-duplicates: of each component, the row with the smallest id.
 
     Of rows that share this id one stays, the first by a hash of its text.  Rows with a null
@@ -180,7 +193,7 @@ def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width
     slim = durable(with_f)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "k")).alias("best")
     least = durable(slim.groupBy("f").agg(best))
-    classes = durable(fingerprint_classes(least.select("f"), limit))
+    classes = durable(fingerprint_classes(least.select("f"), limit, depth))
     kept = classes.join(least, "f").groupBy("root").agg(F.min("best").alias("best"))
     kept = kept.select(F.col("best.k").alias(m), F.col("best.doc_id").alias(i))
     keyed = df.withColumn(k, key)
