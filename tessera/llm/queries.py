@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents
+from .cotraining import fit_quality, with_quality
 from .forest import nearest
 from .mixing import OP2_SQL, mix
 from .packing import pack
@@ -37,11 +38,19 @@ def op9_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, vectors.filter(F.col("vec_id") % 100 == 0), k=10)
 
 
+def op10_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = with_quality(docs, model)
+    return scored.select("doc_id", "quality_score", (F.col("quality_score") >= 0.5).alias("keep"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_hash_mixing": op2_hash_mixing,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_pigeonring_simhash": op6_pigeonring_simhash,
     "op8_jump_sharding": op8_jump_sharding,
+    "op10_cotrained_quality": op10_cotrained_quality,
     "op9_projection_forest": op9_projection_forest,
 }
 
