@@ -14,6 +14,7 @@ from .mixing import OP2_SQL, mix
 from .packing import pack
 from .sharding import shard_slots
 from .simhash import near_duplicates
+from .toxicity import fit_toxicity, held_out, with_toxicity
 
 
 def op8_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,9 +46,23 @@ def op10_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "quality_score", (F.col("quality_score") >= 0.5).alias("keep"))
 
 
+def op5_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = with_toxicity(docs, model)
+    return scored.select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        "toxic_by_language",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_hash_mixing": op2_hash_mixing,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_toxicity_cnn": op5_toxicity_cnn,
     "op6_pigeonring_simhash": op6_pigeonring_simhash,
     "op8_jump_sharding": op8_jump_sharding,
     "op10_cotrained_quality": op10_cotrained_quality,
