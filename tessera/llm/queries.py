@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .avi import text_media
 from .common import documents
 from .cotraining import fit_quality, with_quality
 from .forest import nearest
@@ -59,11 +60,16 @@ def op5_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_media(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_hash_mixing": op2_hash_mixing,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_toxicity_cnn": op5_toxicity_cnn,
     "op6_pigeonring_simhash": op6_pigeonring_simhash,
+    "op7_avi_media": op7_avi_media,
     "op8_jump_sharding": op8_jump_sharding,
     "op10_cotrained_quality": op10_cotrained_quality,
     "op9_projection_forest": op9_projection_forest,
