@@ -11,6 +11,7 @@ from .avi import text_media
 from .common import documents
 from .cotraining import fit_quality, with_quality
 from .forest import nearest
+from .lines import dedup_lines
 from .mixing import OP2_SQL, mix
 from .packing import pack
 from .sharding import shard_slots
@@ -64,7 +65,13 @@ def op7_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(documents(spark, sf_dir))
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return dedup_lines(docs, counts=("n_lines", "n_removed"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_hash_mixing": op2_hash_mixing,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_toxicity_cnn": op5_toxicity_cnn,
