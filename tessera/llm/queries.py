@@ -14,6 +14,7 @@ from .forest import nearest
 from .lines import dedup_lines
 from .mixing import OP2_SQL, mix
 from .packing import pack
+from .passages import passage_digest
 from .sharding import shard_slots
 from .simhash import near_duplicates
 from .toxicity import fit_toxicity, held_out, with_toxicity
@@ -70,9 +71,14 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs, counts=("n_lines", "n_removed"))
 
 
+def op3_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_digest(documents(spark, sf_dir), width=400)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_hash_mixing": op2_hash_mixing,
+    "op3_run_length_index": op3_run_length_index,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_toxicity_cnn": op5_toxicity_cnn,
     "op6_pigeonring_simhash": op6_pigeonring_simhash,
