@@ -25,8 +25,8 @@ from .anchors import content_hash, runs
 from .common import broadcast_if_small, durable
 from .rindex import RunIndex
 
-#: Bytes of runs indexed at once in a task.
-BATCH = 1 << 20
+#: Bytes of runs indexed at once in a task; rows handed on at once.
+BATCH, ROWS = 1 << 20, 50_000
 RUN = "ah long, rh long, s long, w int, o int"
 
 
@@ -43,12 +43,24 @@ def run_rows(df: DataFrame, doc_id: str, text: str, width: int, gram: int) -> Da
     """k1, k2 and for each run: anchor's hash, content's hash, first window, windows, anchor's place in the run."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["k1", "k2", "ah", "rh", "s", "w", "o"]
+
+        def frame(held: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
+            return pd.DataFrame({x: np.concatenate(c) for x, c in zip(names, zip(*held))})
+
         for batch in batches:
+            held, n = [], 0
             for k1, k2, t in zip(batch["k1"], batch["k2"], batch["t"]):
                 b = _utf8(t)
                 for s, w, p, h in runs(b, width, gram):
-                    rh = [content_hash(b[a:e]) for a, e in zip(s.tolist(), (s + w + width - 1).tolist())]
-                    yield pd.DataFrame({"k1": k1, "k2": k2, "ah": h, "rh": rh, "s": s, "w": w, "o": p - s})
+                    rh = np.array([content_hash(b[a:e]) for a, e in zip(s.tolist(), (s + w + width - 1).tolist())], np.int64)
+                    held.append((np.full(len(s), k1), np.full(len(s), k2), h, rh, s, w, p - s))
+                    n += len(s)
+                    if n > ROWS:
+                        yield frame(held)
+                        held, n = [], 0
+            if held:
+                yield frame(held)
 
     slim = df.select(*_row_key(F.col(doc_id), F.col(text)), F.col(text).alias("t"))
     long_enough = slim.filter(F.octet_length("t") >= width)
@@ -59,11 +71,16 @@ def _contents(df: DataFrame, doc_id: str, text: str, wanted: DataFrame, width: i
     """The bytes of the runs in ``wanted`` (k1, k2, ah, rh, n, s, w, o)."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, rows = ["ah", "rh", "n", "w", "o", "content"], []
         for batch in batches:
             for t, need in zip(batch["t"], batch["need"]):
                 b = _utf8(t)
-                rows = [(r["ah"], r["rh"], r["n"], r["w"], r["o"], b[r["s"] : r["s"] + r["w"] + width - 1]) for r in need]
-                yield pd.DataFrame(rows, columns=["ah", "rh", "n", "w", "o", "content"])
+                rows += [(r["ah"], r["rh"], r["n"], r["w"], r["o"], b[r["s"] : r["s"] + r["w"] + width - 1]) for r in need]
+                if len(rows) > ROWS // 10:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
 
     need = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("ah", "rh", "n", "s", "w", "o")).alias("need"))
     need = need.select(F.col("k1").alias("j1"), F.col("k2").alias("j2"), "need")
