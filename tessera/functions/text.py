@@ -95,7 +95,7 @@ def sections(df: DataFrame, text: str) -> DataFrame:
     n = F.floor((F.size("_p") - 1) / 2).cast("int")
     cut = df.withColumn("_p", parts)
     named = F.transform(
-        F.sequence(F.lit(1), n), lambda i: F.struct(F.trim(F.get(F.col("_p"), 2 * i - 1)).alias("section"), F.trim(F.get(F.col("_p"), 2 * i)).alias("body"))
+        F.sequence(F.lit(1), n), lambda i: F.struct(F.trim(F.get(F.col("_p"), 2 * i - 1)).alias("section"), F.regexp_replace(F.get(F.col("_p"), 2 * i), r"^\s+|\s+$", "").alias("body"))
     )
     whole = F.array(F.struct(F.lit("Full Document").alias("section"), F.col(text).alias("body")))
     rows = cut.select(*df.columns, F.posexplode(F.when(n >= 1, named).otherwise(whole)).alias("pos", "_s"))
@@ -113,7 +113,7 @@ def html_to_text(html: Column, decode: bool = True) -> Column:
     x = F.regexp_replace(x, r"(?i)<br[^>]*>|</p>|</div>", "\n")
     x = F.regexp_replace(x, r"<[^>]+>", " ")
     x = F.regexp_replace(x, r"[ \t]+", " ")
-    x = F.trim(F.regexp_replace(x, r"\n[ \n]*", "\n"))
+    x = F.regexp_replace(F.regexp_replace(x, r"\n[ \n]*", "\n"), r"^\s+|\s+$", "")
     if decode:
         for name, value in ENTITIES.items():
             x = F.replace(x, F.lit(name), F.lit(value))

@@ -259,9 +259,9 @@ ORACLE_SQL = {
     "chunk_words": f"WITH {_CHUNKS} SELECT doc_id, word_offset, len(p)::INT AS word_count, md5(array_to_string(p, ' ')) AS text_md5 FROM c",
     "chunk_ids": f"""WITH {_CHUNKS} SELECT doc_id, word_offset, 'text::' || doc_id || '::' || source || '::' || word_offset || '::' ||
         substr(sha1(trim(regexp_replace(lower(array_to_string(p, ' ')), '\\s+', ' ', 'g'))), 1, 10) AS chunk_id FROM c""",
-    "html_to_text": r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
+    "html_to_text": r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
         '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?i)<br[^>]*>|</p>|</div>', chr(10), 'g'),
-        '<[^>]+>', ' ', 'g'), '[ \t]+', ' ', 'g'), '\n[ \n]*', chr(10), 'g')) AS text FROM pages""",
+        '<[^>]+>', ' ', 'g'), '[ \t]+', ' ', 'g'), '\n[ \n]*', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM pages""",
     "url_metadata": r"""SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host,
         substr(regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '[^a-z0-9._-]+', '-', 'g'), '-+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80) AS safe_id,
         CASE WHEN regexp_matches(regexp_extract(url, '([^/]*)$', 1), '(?i)^([a-z.]+)[_-]((?:19|20)[0-9]{2})[_-](10-?k|10-?q|8-?k)')
