@@ -8,24 +8,26 @@ from pyspark.sql import functions as F
 from .common import durable
 
 
+def _two(df: DataFrame, first: tuple, second: tuple, names: tuple[str, str]) -> DataFrame:
+    """Two rows for each row of ``df``."""
+    rows = F.array(*[F.struct(*[x.alias(n) for x, n in zip(pair, names)]) for pair in (first, second)])
+    return df.select(F.explode(rows).alias("r")).select("r.*")
+
+
 def _large_star(e: DataFrame) -> DataFrame:
     """Every neighbour larger than a node is linked to the node's smallest neighbour (or itself)."""
-    both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    u, v = F.col("u"), F.col("v")
+    both = _two(e, (u, v), (v, u), ("u", "v"))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.join(least, "u").filter(v > u).select(v.alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     """Every node and its smaller neighbours are linked to the smallest of them."""
     down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    joined = down.join(least, "u")
-    return (
-        joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
-        .union(least.select("u", F.col("m").alias("v")))
-        .filter(F.col("u") != F.col("v"))
-        .distinct()
-    )
+    joined = _two(down.join(least, "u"), (F.col("v"), F.col("m")), (F.col("u"), F.col("m")), ("u", "v"))
+    return joined.filter(F.col("u") != F.col("v")).distinct()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -46,17 +48,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if now == mark:
             break
         mark = now
-    stars = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return stars.union(roots)
+    return _two(e, (F.col("u"), F.col("v")), (F.col("v"), F.col("v")), ("node", "root")).distinct()
 
 
 def _mark(e: DataFrame) -> tuple:
-    """Tells one edge set from another: the number of edges and two sums of hashes."""
+    """Tells one edge set from another: the number of edges and the sum of their hashes."""
     h = F.xxhash64("u", "v")
     r = e.agg(
         F.count(F.lit(1)),
-        F.sum(F.shiftright(h, 8)).cast("string"),
-        F.sum(F.pmod(h, F.lit(1_000_003))),
+        F.sum(h.cast("decimal(20,0)")),
     ).first()
     return tuple(r)

@@ -67,7 +67,7 @@ def _segments(limit: int) -> list[tuple[int, int]]:
 
 
 def _bits(f: Column, shift: int, n: int) -> Column:
-    return F.shiftrightunsigned(f, shift).bitwiseAND(F.lit((1 << n) - 1))
+    return f if n == 64 else F.shiftrightunsigned(f, shift).bitwiseAND(F.lit((1 << n) - 1))
 
 
 def _keys(limit: int, depth: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -95,22 +95,27 @@ def _keys(limit: int, depth: int) -> list[tuple[int, list[tuple[int, int]]]]:
     return out
 
 
-def _chain(x: Column, start: Column, limit: int) -> Column:
-    """Whether from segment ``start`` on all chains of the difference ``x`` keep to their budgets."""
-    seg = _segments(limit)
-    count = [F.bit_count(_bits(x, *s)) for s in seg]
+def _first_key(limit: int, depth: int) -> str:
+    """SQL: number of the first key that brings the pair a.f, b.f together; null if no chain keeps its budgets.
 
-    def ok(i: int) -> Column:
-        total, good = F.lit(0), F.lit(True)
-        for k in range(len(seg)):
-            total = total + count[(i + k) % len(seg)]
-            good = good & (total <= F.lit((k + 1) * limit // len(seg)))
-        return good
+    The first segment from which all chains keep to their share of the limit;
+    then the first of its keys whose bits are equal (there always is one).
+    """
+    x, seg, keys = "(a.f ^ b.f)", _segments(limit), _keys(limit, depth)
 
-    out = F.lit(False)
+    def bits(s: tuple[int, int]) -> str:
+        return x if s[1] == 64 else f"(shiftrightunsigned({x}, {s[0]}) & {(1 << s[1]) - 1}L)"
+
+    cases = []
     for i in range(len(seg)):
-        out = F.when(start == i, ok(i)).otherwise(out)
-    return out
+        chain, total = [], []
+        for k in range(len(seg)):
+            total.append(f"bit_count({bits(seg[(i + k) % len(seg)])})")
+            chain.append(f"{' + '.join(total)} <= {(k + 1) * limit // len(seg)}")
+        mine = [(n, equal) for n, (start, equal) in enumerate(keys) if start == i]
+        first = " ".join(f"WHEN {' AND '.join(f'{bits(s)} = 0' for s in equal)} THEN {n}" for n, equal in mine)
+        cases.append(f"WHEN {' AND '.join(chain)} THEN CASE {first} END")
+    return f"CASE {' '.join(cases)} END"
 
 
 def linked_pairs(fps: DataFrame, limit: int = 4, depth: int = 2) -> DataFrame:
@@ -119,34 +124,15 @@ def linked_pairs(fps: DataFrame, limit: int = 4, depth: int = 2) -> DataFrame:
     A pair that meets under several keys is kept under the first only, so it
     comes out once and nothing needs to be made distinct.
     """
-    keys = _keys(limit, depth)
     rows = []
-    for k, (start, equal) in enumerate(keys):
-        key, width = F.lit(0).cast("long"), 0
+    for k, (_, equal) in enumerate(_keys(limit, depth)):
+        key = F.lit(0).cast("long")
         for s in equal:
             key = F.shiftleft(key, s[1]).bitwiseOR(_bits(F.col("f"), *s)) if s[1] < 64 else F.col("f")
-            width += s[1]
-        rows.append(F.struct(F.lit(k).alias("k"), F.lit(start).alias("start"), key.alias("key")))
+        rows.append(F.struct(F.lit(k).alias("k"), key.alias("key")))
     dealt = fps.select("f", F.explode(F.array(*rows)).alias("r")).select("f", "r.*")
     a, b = dealt.alias("a"), dealt.alias("b")
-    x = F.col("a.f").bitwiseXOR(F.col("b.f"))
-    agree = []
-    for start, equal in keys:
-        same = F.lit(True)
-        for s in equal:
-            same = same & (_bits(x, *s) == 0)
-        agree.append(same & _chain(x, F.lit(start), limit))
-    first = F.lit(len(keys))
-    for k in range(len(keys) - 1, -1, -1):
-        first = F.when(agree[k], k).otherwise(first)
-    on = (
-        (F.col("a.k") == F.col("b.k"))
-        & (F.col("a.key") == F.col("b.key"))
-        & (F.col("a.f") < F.col("b.f"))
-        & _chain(x, F.col("a.start"), limit)
-        & (F.bit_count(x) <= limit)
-        & (first == F.col("a.k"))
-    )
+    on = F.expr(f"a.k = b.k AND a.key = b.key AND a.f < b.f AND {_first_key(limit, depth)} = a.k AND bit_count(a.f ^ b.f) <= {limit}")
     return a.join(b, on).select(F.col("a.f").alias("u"), F.col("b.f").alias("v"))
 
 
