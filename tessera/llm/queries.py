@@ -11,7 +11,7 @@ from .avi import text_media
 from .common import documents
 from .cotraining import fit_quality, with_quality
 from .forest import nearest
-from .lines import dedup_lines
+from .lines import WIDE, dedup_lines
 from .mixing import OP2_SQL, mix
 from .packing import pack
 from .passages import passage_digest
@@ -68,7 +68,7 @@ def op7_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    return dedup_lines(docs, counts=("n_lines", "n_removed"))
+    return dedup_lines(docs, limit=WIDE, counts=("n_lines", "n_removed"), runs=True)
 
 
 def op3_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
