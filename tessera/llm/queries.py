@@ -68,7 +68,7 @@ def op7_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    return dedup_lines(docs, limit=WIDE, counts=("n_lines", "n_removed"), runs=True)
+    return dedup_lines(docs, limit=WIDE, least_words=1, counts=("n_lines", "n_removed"), runs=True)
 
 
 def op3_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
