@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import durable, fresh
@@ -167,19 +167,75 @@ def near_duplicates(
     )
 
 
-def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, limit: int = 6, depth: int = 3) -> DataFrame:
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """Hashes of the different word shingles of ``text``, sorted; of all words if there are fewer."""
+    words = WORD.findall((text or "").encode("utf-8", "surrogatepass").translate(LOWER))
+    n = max(1, len(words) - width + 1) if words else 0
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(b" ".join(words[i : i + width])) for i in range(n)], np.uint64).view(np.int64))
+
+
+def shingle_sets(text: Column, width: int) -> Column:
+    @F.pandas_udf("array<long>")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for t in batches:
+            yield pd.Series([shingle_set(x, width) for x in t], dtype=object)
+
+    return of(text)
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose sets have at least ``similarity`` of their union in common."""
+    a = sets.select(F.col("f").alias("u"), F.col("s").alias("x"))
+    b = sets.select(F.col("f").alias("v"), F.col("s").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    return pairs.join(a, "u").join(b, "v").filter(both >= similarity * (F.size("x") + F.size("y") - both)).select("u", "v")
+
+
+def similar_classes(sets: DataFrame, similarity: float, keys: int = 8) -> DataFrame:
+    """(f, root) for the different sets ``sets`` (f, s sorted); root stands for the component.
+
+    Sets are compared that share one of their ``keys`` smallest hashes: of those
+    at 0.8 one in 400,000 or so shares none.  First each with the first one under
+    its keys; then only the pairs between different groups.
+    """
+    dealt = sets.select("f", F.size("s").alias("n"), F.explode(F.slice("s", 1, keys)).alias("key"))
+    w = Window.partitionBy("key")
+    met = dealt.withColumns({"c": F.min(F.struct("f", "n")).over(w), "many": F.count(F.lit(1)).over(w)})
+    met = durable(met.filter("many > 1").drop("many"))
+
+    def near(m: str, n: str) -> Column:
+        return F.least(m, n) >= similarity * F.greatest(m, n)
+
+    stars = met.filter((F.col("f") != F.col("c.f")) & near("n", "c.n")).select(F.col("c.f").alias("u"), F.col("f").alias("v")).distinct()
+    groups = durable(connected_components(_similar(durable(stars), sets, similarity)))
+    named = met.join(groups, met["f"] == groups["node"], "left").select("key", "f", "n", F.coalesce("root", "f").alias("g"))
+    named = named.withColumns({"lo": F.min("g").over(w), "hi": F.max("g").over(w)}).filter("lo != hi")
+    a, b = named.alias("a"), named.alias("b")
+    on = (F.col("a.key") == F.col("b.key")) & (F.col("a.f") < F.col("b.f")) & (F.col("a.g") != F.col("b.g")) & near("a.n", "b.n")
+    more = _similar(durable(a.join(b, on).select(F.col("a.f").alias("u"), F.col("b.f").alias("v")).distinct()), sets, similarity)
+    links = more.union(groups.select(F.col("root").alias("u"), F.col("node").alias("v")))
+    comp = durable(connected_components(links))
+    alone = sets.join(comp, sets["f"] == comp["node"], "left_anti").select("f", F.col("f").alias("root"))
+    return comp.select(F.col("node").alias("f"), "root").union(alone)
+
+
+def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``df`` without near-duplicates: of each component, the row with the smallest id.
 
+    Linked are texts whose sets of word shingles have at least ``similarity`` of their union in common;
+    texts without words are equal.
     Of rows that share this id one stays, the first by a hash of its text.  Rows with a null
     id come after all others.  The columns are those of ``df``.
     """
     k, i, m = (fresh(df, s) for s in ("k", "i", "m"))
     key = F.xxhash64(doc_id, text)
-    with_f = df.select(F.col(doc_id).alias("doc_id"), key.alias("k"), fingerprints(df[text], width).alias("f"))
-    slim = durable(with_f)
+    with_f = df.select(F.col(doc_id).alias("doc_id"), key.alias("k"), shingle_sets(df[text], width).alias("s"))
+    slim = durable(with_f.withColumn("f", F.xxhash64("s")))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "k")).alias("best")
     least = durable(slim.groupBy("f").agg(best))
-    classes = durable(fingerprint_classes(least.select("f"), limit, depth))
+    sets = durable(slim.select("f", "s").dropDuplicates(["f"]))
+    classes = durable(similar_classes(sets, similarity))
     kept = classes.join(least, "f").groupBy("root").agg(F.min("best").alias("best"))
     kept = kept.select(F.col("best.k").alias(m), F.col("best.doc_id").alias(i))
     keyed = df.withColumn(k, key)
