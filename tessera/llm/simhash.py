@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, fresh
+from .common import broadcast_if_small, durable, fresh
 from .components import connected_components
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -186,20 +186,24 @@ def shingle_sets(text: Column, width: int) -> Column:
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (u, v) whose sets have at least ``similarity`` of their union in common."""
-    a = sets.select(F.col("f").alias("u"), F.col("s").alias("x"))
-    b = sets.select(F.col("f").alias("v"), F.col("s").alias("y"))
+    ends = durable(pairs.select(F.col("u").alias("e")).union(pairs.select(F.col("v").alias("e"))).distinct())
+    need = durable(sets.join(broadcast_if_small(ends), sets["f"] == ends["e"], "left_semi").dropDuplicates(["f"]))
+    a = need.select(F.col("f").alias("u"), F.col("s").alias("x"))
+    b = need.select(F.col("f").alias("v"), F.col("s").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     return pairs.join(a, "u").join(b, "v").filter(both >= similarity * (F.size("x") + F.size("y") - both)).select("u", "v")
 
 
 def similar_classes(sets: DataFrame, similarity: float, keys: int = 8) -> DataFrame:
-    """(f, root) for the different sets ``sets`` (f, s sorted); root stands for the component.
+    """(f, root) for the sets ``sets`` (f, s sorted; a set may come several times); root stands for the component.
 
     Sets are compared that share one of their ``keys`` smallest hashes: of those
     at 0.8 one in 400,000 or so shares none.  First each with the first one under
     its keys; then only the pairs between different groups.
     """
-    dealt = sets.select("f", F.size("s").alias("n"), F.explode(F.slice("s", 1, keys)).alias("key"))
+    heads = sets.select("f", F.size("s").alias("n"), F.slice("s", 1, keys).alias("first"))
+    heads = durable(heads.dropDuplicates(["f"]))
+    dealt = heads.select("f", "n", F.explode("first").alias("key"))
     w = Window.partitionBy("key")
     met = dealt.withColumns({"c": F.min(F.struct("f", "n")).over(w), "many": F.count(F.lit(1)).over(w)})
     met = durable(met.filter("many > 1").drop("many"))
@@ -216,7 +220,7 @@ def similar_classes(sets: DataFrame, similarity: float, keys: int = 8) -> DataFr
     more = _similar(durable(a.join(b, on).select(F.col("a.f").alias("u"), F.col("b.f").alias("v")).distinct()), sets, similarity)
     links = more.union(groups.select(F.col("root").alias("u"), F.col("node").alias("v")))
     comp = durable(connected_components(links))
-    alone = sets.join(comp, sets["f"] == comp["node"], "left_anti").select("f", F.col("f").alias("root"))
+    alone = heads.join(comp, heads["f"] == comp["node"], "left_anti").select("f", F.col("f").alias("root"))
     return comp.select(F.col("node").alias("f"), "root").union(alone)
 
 
@@ -234,8 +238,7 @@ def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width
     slim = durable(with_f.withColumn("f", F.xxhash64("s")))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "k")).alias("best")
     least = durable(slim.groupBy("f").agg(best))
-    sets = durable(slim.select("f", "s").dropDuplicates(["f"]))
-    classes = durable(similar_classes(sets, similarity))
+    classes = durable(similar_classes(slim.select("f", "s"), similarity))
     kept = classes.join(least, "f").groupBy("root").agg(F.min("best").alias("best"))
     kept = kept.select(F.col("best.k").alias(m), F.col("best.doc_id").alias(i))
     keyed = df.withColumn(k, key)
