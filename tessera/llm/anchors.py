@@ -16,6 +16,8 @@ import xxhash
 
 #: Bytes of text looked at in one step.
 STEP = 1 << 20
+#: Bits for a place in a step; the hash is compared by the others, in every text alike.
+PLACE_BITS = 21
 #: Multiplier of the rolling hash, odd, so that it has an inverse modulo 2 to the 64.
 BASE = 0x9E3779B97F4A7C15
 
@@ -47,18 +49,19 @@ def gram_hashes(raw: np.ndarray, gram: int) -> np.ndarray:
 
 
 def leftmost_least(h: np.ndarray, span: int) -> np.ndarray:
-    """For every ``span`` neighbouring values, the place of the leftmost smallest."""
-    value, place, n = h, np.arange(len(h), dtype=np.int32), 1
+    """For every ``span`` neighbouring values, the place of the leftmost smallest by its upper bits.
+
+    The place goes into the lower bits, so one minimum a step finds both.
+    """
+    low = np.uint64((1 << PLACE_BITS) - 1)
+    key, n = (h & ~low) | np.arange(len(h), dtype=np.uint64), 1
     while 2 * n <= span:
-        a, b = value[:-n], value[n:]
-        right = b < a
-        place = np.where(right, place[n:], place[:-n])
-        value = np.where(right, b, a)
+        key = np.minimum(key[:-n], key[n:])
         n *= 2
     if n < span:
         d = span - n
-        place = np.where(value[d:] < value[:-d], place[d:], place[:-d])
-    return place
+        key = np.minimum(key[:-d], key[d:])
+    return (key & low).astype(np.int32)
 
 
 def runs(text: bytes, width: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -78,3 +81,8 @@ def content_hash(data: bytes) -> int:
     """64 bits, signed."""
     x = xxhash.xxh3_64_intdigest(data)
     return x - (1 << 64) if x >> 63 else x
+
+
+def content_names(pieces: list[bytes]) -> np.ndarray:
+    """Two signed 64-bit numbers for each piece, a hash of 128 bits."""
+    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(p) for p in pieces]), "<i8").reshape(len(pieces), 2)

@@ -1,14 +1,15 @@
 """Removal of repeated passages: every byte in a string of ``width`` bytes that starts elsewhere too.
 
-A text is cut into runs of windows with a common anchor (``anchors``).  Equal
-windows have equal anchors, so only runs with one anchor have to be compared.
-Equal runs are counted first: a run that occurs twice is repeated in full, and
-one whose anchor no other run has is not repeated at all.  What is left, runs
-that overlap in part, is gathered by anchor and indexed: a run-compressed
-Burrows-Wheeler transform with samples at its run ends, through which matching
-statistics are streamed (``rindex``).  Anchors with too many different runs for
-one task are first split by parts of their windows, which share more bytes and
-so fall apart into smaller classes.
+A text is cut once into runs of windows with a common anchor (``anchors``).
+Equal windows have equal anchors, so only runs with one anchor have to be
+compared; what has an anchor of its own drops out.  All that is left is judged
+by an index: a run-compressed Burrows-Wheeler transform with samples at its run
+ends, through which matching statistics are streamed (``rindex``).  It is given
+bytes, from two places where a run occurs twice.  Runs whose anchor comes with
+one content only are put together, neighbour to neighbour, to chains, so that
+long copies are indexed as they stand; the others are gathered by anchor.
+Anchors with too many different runs for one task are first split by parts of
+their windows, which share more bytes and so fall apart into smaller classes.
 """
 
 from __future__ import annotations
@@ -18,16 +19,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .anchors import content_hash, runs
-from .common import broadcast_if_small, durable
+from .anchors import content_hash, content_names, runs
+from .common import broadcast_if_small, durable, written
 from .rindex import RunIndex
 
-#: Bytes of runs indexed at once in a task; rows handed on at once.
-BATCH, ROWS = 1 << 20, 50_000
-RUN = "ah long, rh long, s long, w int, o int"
+#: Bytes of runs indexed at once in a task; rows handed on at once; windows in a chain.
+BATCH, ROWS, CHAIN = 1 << 20, 50_000, 1 << 16
+RUN = "ah long, r1 long, r2 long, s long, w int, o int"
 
 
 def _utf8(t: str | None) -> bytes:
@@ -40,10 +41,10 @@ def _row_key(doc_id: Column, text: Column) -> list[Column]:
 
 
 def run_rows(df: DataFrame, doc_id: str, text: str, width: int, gram: int) -> DataFrame:
-    """k1, k2 and for each run: anchor's hash, content's hash, first window, windows, anchor's place in the run."""
+    """k1, k2 and for each run: anchor's hash, content's hash (two numbers), first window, windows, anchor's place in the run."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["k1", "k2", "ah", "rh", "s", "w", "o"]
+        names = ["k1", "k2", "ah", "r1", "r2", "s", "w", "o"]
 
         def frame(held: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
             return pd.DataFrame({x: np.concatenate(c) for x, c in zip(names, zip(*held))})
@@ -53,8 +54,8 @@ def run_rows(df: DataFrame, doc_id: str, text: str, width: int, gram: int) -> Da
             for k1, k2, t in zip(batch["k1"], batch["k2"], batch["t"]):
                 b = _utf8(t)
                 for s, w, p, h in runs(b, width, gram):
-                    rh = np.array([content_hash(b[a:e]) for a, e in zip(s.tolist(), (s + w + width - 1).tolist())], np.int64)
-                    held.append((np.full(len(s), k1), np.full(len(s), k2), h, rh, s, w, p - s))
+                    r = content_names([b[a:e] for a, e in zip(s.tolist(), (s + w + width - 1).tolist())])
+                    held.append((np.full(len(s), k1), np.full(len(s), k2), h, r[:, 0], r[:, 1], s, w, p - s))
                     n += len(s)
                     if n > ROWS:
                         yield frame(held)
@@ -67,78 +68,92 @@ def run_rows(df: DataFrame, doc_id: str, text: str, width: int, gram: int) -> Da
     return long_enough.mapInPandas(cut, f"k1 long, k2 long, {RUN}")
 
 
-def _contents(df: DataFrame, doc_id: str, text: str, wanted: DataFrame, width: int) -> DataFrame:
-    """The bytes of the runs in ``wanted`` (k1, k2, ah, rh, n, s, w, o)."""
+SLICE = "x1 long, x2 long, x3 long, n long, o int, content binary"
+
+
+def _slices(df: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> DataFrame:
+    """The bytes from s to e of the rows named in ``wanted`` (k1, k2, s, e, and what is handed on: x1, x2, x3, n, o).
+
+    Rows that agree in id and text are read once in a task.
+    """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, rows = ["ah", "rh", "n", "w", "o", "content"], []
+        names, rows, size, seen = ["x1", "x2", "x3", "n", "o", "content"], [], 0, set()
         for batch in batches:
-            for t, need in zip(batch["t"], batch["need"]):
+            for k1, k2, t, need in zip(batch["k1"], batch["k2"], batch["t"], batch["need"]):
+                if (k1, k2) in seen:
+                    continue
+                seen.add((k1, k2))
                 b = _utf8(t)
-                rows += [(r["ah"], r["rh"], r["n"], r["w"], r["o"], b[r["s"] : r["s"] + r["w"] + width - 1]) for r in need]
-                if len(rows) > ROWS // 10:
-                    yield pd.DataFrame(rows, columns=names)
-                    rows = []
+                for r in need:
+                    rows.append((r["x1"], r["x2"], r["x3"], r["n"], r["o"], b[r["s"] : r["e"]]))
+                    size += r["e"] - r["s"]
+                    if size > 4 * BATCH or len(rows) > ROWS:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows, size = [], 0
         if rows:
             yield pd.DataFrame(rows, columns=names)
 
-    need = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("ah", "rh", "n", "s", "w", "o")).alias("need"))
+    what = ["s", "e", "x1", "x2", "x3", "n", "o"]
+    need = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct(*what)).alias("need"))
     need = need.select(F.col("k1").alias("j1"), F.col("k2").alias("j2"), "need")
     docs = df.select(*_row_key(F.col(doc_id), F.col(text)), F.col(text).alias("t"))
-    found = docs.join(need, (F.col("k1") == F.col("j1")) & (F.col("k2") == F.col("j2"))).select("t", "need")
-    rows = found.mapInPandas(cut, "ah long, rh long, n long, w int, o int, content binary")
-    return rows.dropDuplicates(["ah", "rh"])
+    found = docs.join(need, (F.col("k1") == F.col("j1")) & (F.col("k2") == F.col("j2"))).select("k1", "k2", "t", "need")
+    return found.mapInPandas(cut, SLICE)
 
 
 def _index(rows: DataFrame, width: int) -> DataFrame:
-    """(ah, rh, lo, hi) for the repeated windows of runs in (c, h, content): each class c is in one task.
+    """(c, h, lo, hi): the repeated windows of the strings ``rows`` (c, h, content): each class c is in one task.
 
-    c is the class, h a content in it.  Several classes are indexed together;
-    windows of different classes are never equal.
+    c is the class, h names a string in it; of rows with one name the first
+    is reported.  Several classes are indexed together; windows of different
+    classes are never equal, but for chains, where it does no harm: they are
+    repeated then.
     """
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple[int, int, int, bytes]] = []
+        held: list[tuple[int, int, bytes]] = []
         size, last = 0, None
 
         def flush() -> pd.DataFrame:
-            out = []
-            for (c, h, n, b), again in zip(held, RunIndex([x[3] for x in held]).repeated(width)):
-                if n > 1:  # the content itself occurs again
-                    again = np.ones(len(again), bool)
-                edges = np.nonzero(np.diff(np.concatenate([[0], again.astype(np.int8), [0]])))[0]
-                out += [(c, h, a, e) for a, e in zip(edges[::2].tolist(), edges[1::2].tolist())]
+            out, before = [], None
+            for (c, h, _), again in zip(held, RunIndex([x[2] for x in held]).repeated(width)):
+                if (c, h) != before:
+                    edges = np.nonzero(np.diff(np.concatenate([[0], again.astype(np.int8), [0]])))[0]
+                    out += [(c, h, a, e) for a, e in zip(edges[::2].tolist(), edges[1::2].tolist())]
+                before = c, h
             held.clear()
             return pd.DataFrame(out, columns=["c", "h", "lo", "hi"])
 
         for batch in batches:
-            for c, h, n, b in zip(batch["c"], batch["h"], batch["n"], batch["content"]):
+            for c, h, b in zip(batch["c"], batch["h"], batch["content"]):
                 if size >= BATCH and c != last:
                     yield flush()
                     size = 0
-                held.append((c, h, n, b))
+                held.append((c, h, b))
                 size += len(b)
                 last = c
         if held:
             yield flush()
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select("c", "h", "n", "content").repartition(n, "c").sortWithinPartitions("c", "h")
+    dealt = rows.select("c", "h", "content").repartition(n, "c").sortWithinPartitions("c", "h")
     return dealt.mapInPandas(mark, "c long, h long, lo int, hi int")
 
 
 def _split(parts: DataFrame, level: int, span: int, width: int) -> DataFrame:
     """Each part's windows dealt to two halves of their possible places, each with the bytes its windows share as class.
 
-    ``parts``: ah, rh, first (window of the run), o (anchor's place in the
-    content), q (which piece of the places), content.  A window that starts d
-    bytes before its anchor is in piece floor(d * 2^level / span).
+    ``parts``: ah, r1, r2, n, first (window of the run), o (anchor's place in
+    the content), content.  A window that starts d bytes before its anchor is
+    in piece floor(d * 2^level / span).
     """
+    names = ["ah", "r1", "r2", "n", "first", "o", "content", "c", "h"]
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for ah, rh, n, first, o, b in zip(*(batch[x] for x in ("ah", "rh", "n", "first", "o", "content"))):
+            for ah, r1, r2, n, first, o, b in zip(*(batch[x] for x in names[:7])):
                 windows = len(b) - width + 1
                 d = o - np.arange(windows)
                 piece = (d << level) // span
@@ -149,74 +164,109 @@ def _split(parts: DataFrame, level: int, span: int, width: int) -> DataFrame:
                     core = b[o - nearest : o - farthest + width]
                     c = xxhash.xxh3_64_intdigest(core, (ah ^ q * 0x9E3779B97F4A7C15) & (1 << 64) - 1)
                     sub = b[a : e - 1 + width]
-                    rows.append((ah, rh, n, first + a, o - a, sub, c - (1 << 64) if c >> 63 else c, content_hash(sub)))
-            yield pd.DataFrame(rows, columns=["ah", "rh", "n", "first", "o", "content", "c", "h"])
+                    rows.append((ah, r1, r2, n, first + a, o - a, sub, c - (1 << 64) if c >> 63 else c, content_hash(sub)))
+            yield pd.DataFrame(rows, columns=names)
 
-    return parts.mapInPandas(deal, "ah long, rh long, n long, first int, o int, content binary, c long, h long")
+    return parts.mapInPandas(deal, "ah long, r1 long, r2 long, n long, first int, o int, content binary, c long, h long")
 
 
-def _partly_repeated(contents: DataFrame, width: int, gram: int, most: int) -> DataFrame:
-    """(ah, rh, lo, hi): repeated windows lo to hi - 1 of the runs in ``contents`` (ah, rh, n, w, o, content).
+def _gathered(parts: DataFrame, width: int, gram: int, most: int) -> DataFrame:
+    """(ah, r1, r2, lo, hi): repeated windows lo to hi - 1 of the runs in ``parts`` (ah, r1, r2, n, o, content).
 
-    Classes of at most ``most`` different contents go to the index; larger
-    ones are split, and their parts are judged anew, until single windows are
-    left: those are equal or they aren't.
+    A run that occurs n times is there twice, from two places, if n > 1.
+    Classes of at most ``most`` different strings go to the index; larger ones
+    are split, and their parts are judged anew.  Single windows at last share
+    all of their bytes, so such a class is one string.
     """
     span, level, out = width - gram + 1, 0, []
-    parts = contents.select("ah", "rh", "n", F.lit(0).alias("first"), "o", "content", F.col("ah").alias("c"), F.col("rh").alias("h"))
+    parts = parts.select("ah", "r1", "r2", "n", F.lit(0).alias("first"), "o", "content", F.col("ah").alias("c"), F.col("r1").alias("h"))
     while True:
         parts = durable(parts)
         if level and parts.isEmpty():
             break
-        kinds = parts.groupBy("c", "h").agg(F.sum("n").alias("m"))
-        sizes = kinds.groupBy("c").agg(F.count(F.lit(1)).alias("d"))
-        kinds = durable(kinds.join(sizes, "c"))
-        known = broadcast_if_small(kinds.withColumnsRenamed({"c": "c2", "h": "h2"}))
-        judged = parts.join(known, (F.col("c") == F.col("c2")) & (F.col("h") == F.col("h2"))).drop("c2", "h2")
-        windows = (F.octet_length("content") - width + 1).cast("int")
-        whole = judged.filter(F.col("m") > 1)
-        out.append(whole.select("ah", "rh", F.col("first").alias("lo"), (F.col("first") + windows).alias("hi")))
-        single = 1 << level >= span
-        if not single:
-            small = judged.filter((F.col("d") > 1) & (F.col("d") <= most))
-            one = small.groupBy("c", "h").agg(F.first("content").alias("content"), F.max("m").alias("n"))
-            marks = durable(_index(one, width)).withColumnsRenamed({"c": "c2", "h": "h2"})
-            part = small.filter(F.col("m") == 1).join(marks, (F.col("c") == F.col("c2")) & (F.col("h") == F.col("h2")))
-            out.append(part.select("ah", "rh", (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi")).alias("hi")))
-        big = judged.filter((F.col("d") > most)).select("ah", "rh", "n", "first", "o", "content")
+        run = F.struct("ah", "r1", "r2")
+        kinds = parts.groupBy("c", "h").agg(((F.max("n") > 1) | (F.min(run) != F.max(run))).alias("again"))
+        sizes = kinds.groupBy("c").agg(F.count(F.lit(1)).alias("d"), F.max("again").alias("any"))
+        judged = sizes.filter((F.col("d") > 1) | F.col("any")).select(F.col("c").alias("c2"), "d")
+        rows = parts.join(broadcast_if_small(durable(judged)), F.col("c") == F.col("c2")).drop("c2")
+        small = rows.filter(F.col("d") <= most)
+        one = small.groupBy("c", "h").agg(
+            F.min("content").alias("a"), F.max("content").alias("b"), ((F.max("n") > 1) | (F.min(run) != F.max(run))).alias("again")
+        )
+        strings = F.array_compact(F.array("a", F.when(F.col("again"), F.col("b"))))
+        marks = durable(_index(one.select("c", "h", F.explode(strings).alias("content")), width))
+        marks = marks.withColumnsRenamed({"c": "c2", "h": "h2"})
+        named = small.select("ah", "r1", "r2", "first", "c", "h").distinct()
+        part = named.join(marks, (F.col("c") == F.col("c2")) & (F.col("h") == F.col("h2")))
+        out.append(part.select("ah", "r1", "r2", (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi")).alias("hi")))
+        big = rows.filter(F.col("d") > most).select("ah", "r1", "r2", "n", "first", "o", "content")
         level += 1
-        parts = _split(big, level, span, width)
-        if single:
+        if 1 << level - 1 >= span:
             break
+        parts = _split(big, level, span, width)
     union = out[0]
     for x in out[1:]:
         union = union.union(x)
     return union
 
 
+def _chains(kinds: DataFrame) -> DataFrame:
+    """Runs of one content each, put together where they are neighbours at both of two places they occur at.
+
+    ``kinds``: ah, r1, r2, w, p and q (k1, k2, s of the first and the last
+    occurrence).  Result: c (the chain's name), p, q, w (windows), runs.
+    """
+    doc = Window.partitionBy("p.k1", "p.k2").orderBy("p.s")
+    shift = F.col("q.s") - F.col("p.s")
+    other = F.struct("q.k1", "q.k2", shift.alias("d"))
+    x = kinds.withColumns({"other": other, "block": F.floor(F.col("p.s") / CHAIN)})
+    follows = (F.lag("other").over(doc) == F.col("other")) & (F.lag(F.col("p.s") + F.col("w")).over(doc) == F.col("p.s"))
+    follows = F.coalesce(follows & (F.lag("block").over(doc) == F.col("block")), F.lit(False))
+    x = x.withColumn("k", F.sum((~follows).cast("int")).over(doc.rowsBetween(Window.unboundedPreceding, 0)))
+    chain = x.groupBy(F.col("p.k1").alias("k1"), F.col("p.k2").alias("k2"), "k").agg(
+        F.min("p").alias("p"), F.min_by("q", "p.s").alias("q"), F.sum("w").cast("long").alias("w"), F.collect_list(F.struct("ah", "r1", "r2", F.col("p.s").alias("s"), "w")).alias("runs")
+    )
+    return chain.select(F.xxhash64("k1", "k2", "k").alias("c"), "p", "q", "w", "runs")
+
+
 def repeated_spans(df: DataFrame, doc_id: str, text: str, width: int = 400, gram: int = 150, most: int = 1_500) -> DataFrame:
     """(k1, k2, spans): for each row with repeated bytes, spans of them, unmerged.
 
     k1, k2 as in ``_row_key``: rows that agree in id and text share one entry,
     though each counts as an occurrence.
     """
-    all_runs = run_rows(df, doc_id, text, width, gram)
-    counted = all_runs.groupBy("ah", "rh").agg(F.count(F.lit(1)).alias("n"))
-    # runs by anchor; anchors that occur once drop out
-    anchors = counted.groupBy("ah").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("d")).filter(F.col("total") > 1)
-    kinds = durable(counted.join(anchors.drop("total"), "ah"))
-    known = broadcast_if_small(kinds.withColumnsRenamed({"ah": "ah2", "rh": "rh2"}))
-    met = all_runs.join(known, (F.col("ah") == F.col("ah2")) & (F.col("rh") == F.col("rh2"))).drop("ah2", "rh2")
-    met = durable(met)
-    mixed = met.filter(F.col("d") > 1)
-    first = mixed.groupBy("ah", "rh").agg(F.min(F.struct("k1", "k2", "s", "w", "o", "n")).alias("x")).select("ah", "rh", "x.*")
-    contents = durable(_contents(df, doc_id, text, first, width))
-    partly = _partly_repeated(contents, width, gram, most)
-    marks = durable(partly.withColumnsRenamed({"ah": "ah2", "rh": "rh2"}))
-    whole = met.filter(F.col("n") > 1).select("k1", "k2", F.struct(F.col("s").alias("a"), (F.col("s") + F.col("w") - 1 + width).alias("e")).alias("x"))
-    part = mixed.filter(F.col("n") == 1).join(marks, (F.col("ah") == F.col("ah2")) & (F.col("rh") == F.col("rh2")))
-    part = part.select("k1", "k2", F.struct((F.col("s") + F.col("lo")).alias("a"), (F.col("s") + F.col("hi") - 1 + width).alias("e")).alias("x"))
-    return whole.union(part).groupBy("k1", "k2").agg(F.collect_list("x").alias("spans"))
+    all_runs = written(run_rows(df, doc_id, text, width, gram))
+    # anchors that occur once drop out
+    anchors = all_runs.groupBy("ah").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("ah").alias("a"))
+    met = written(all_runs.join(broadcast_if_small(durable(anchors)), F.col("ah") == F.col("a")).drop("a"))
+    place = F.struct("k1", "k2", "s")
+    kinds = met.groupBy("ah", "r1", "r2").agg(
+        F.count(F.lit(1)).alias("n"), F.min(place).alias("p"), F.max(place).alias("q"), F.min("w").alias("w"), F.min("o").alias("o")
+    )
+    kinds = durable(kinds)
+    several = kinds.groupBy(F.col("ah").alias("a")).agg(F.count(F.lit(1)).alias("d"))
+    kinds = written(kinds.join(several, F.col("ah") == F.col("a")).drop("a"))
+    chains = written(_chains(kinds.filter("d = 1").drop("d", "n", "o")))
+    both = F.explode(F.array("p", "q"))
+    # the chain's places: that in the first text and that in the last, each to the last byte of its last window
+    asked = chains.select("w", F.col("c").alias("x1"), both.alias("at")).select(
+        "at.*", (F.col("at.s") + F.col("w") + width - 1).alias("e"), "x1", F.lit(0).cast("long").alias("x2"), F.lit(0).cast("long").alias("x3"), F.lit(0).cast("long").alias("n"), F.lit(-1).alias("o")
+    )
+    mixed = kinds.filter("d > 1").select("w", "n", "o", "ah", "r1", "r2", F.explode(F.when(F.col("n") > 1, F.array("p", "q")).otherwise(F.array("p"))).alias("at"))
+    mixed = mixed.select("at.*", (F.col("at.s") + F.col("w") + width - 1).alias("e"), F.col("ah").alias("x1"), F.col("r1").alias("x2"), F.col("r2").alias("x3"), "n", "o")
+    got = written(_slices(df, doc_id, text, asked.union(mixed)))
+    marks = _index(got.filter("o < 0").select(F.col("x1").alias("c"), F.lit(0).cast("long").alias("h"), "content"), width)
+    found = marks.join(chains.select(F.col("c").alias("c2"), F.col("p.s").alias("at"), "runs"), F.col("c") == F.col("c2"))
+    # a run's place in its chain is where it stands in the first text
+    placed = F.transform("runs", lambda r: F.struct(r["ah"].alias("ah"), r["r1"].alias("r1"), r["r2"].alias("r2"), (r["s"] - F.col("at")).alias("a"), (r["s"] - F.col("at") + r["w"]).alias("z")))
+    rows = found.select("lo", "hi", F.explode(placed).alias("r")).select("lo", "hi", "r.*").filter("lo < z and hi > a")
+    uniform = rows.select("ah", "r1", "r2", F.greatest(F.col("lo") - F.col("a"), F.lit(0)).alias("lo"), (F.least("hi", "z") - F.col("a")).alias("hi"))
+    uniform = uniform.withColumns({"lo": F.col("lo").cast("int"), "hi": F.col("hi").cast("int")})
+    parts = got.filter("o >= 0").withColumnsRenamed({"x1": "ah", "x2": "r1", "x3": "r2"})
+    marks = written(uniform.union(_gathered(parts, width, gram, most)).withColumnsRenamed({"ah": "a", "r1": "b1", "r2": "b2"}))
+    same = (F.col("ah") == F.col("a")) & (F.col("r1") == F.col("b1")) & (F.col("r2") == F.col("b2"))
+    span = F.struct((F.col("s") + F.col("lo")).alias("a"), (F.col("s") + F.col("hi") - 1 + width).alias("e"))
+    return met.join(marks, same).groupBy("k1", "k2").agg(F.collect_set(span).alias("spans"))
 
 
 def _merged(spans) -> list[tuple[int, int]]:

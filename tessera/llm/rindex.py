@@ -58,29 +58,40 @@ def common_length(a: np.ndarray, b: np.ndarray, ranks: list[np.ndarray], lengths
 
 
 class RunIndex:
-    """Run-length BWT of ``strings`` (a 0 after each) with samples at the ends of its runs."""
+    """Run-length BWT of ``strings`` (a 0 after each) with samples at the ends of its runs.
+
+    Equal strings are compared byte for byte and sorted once: the suffixes of
+    the copies stand beside each other in suffix order, so copies lengthen the
+    runs and add none.
+    """
 
     def __init__(self, strings: list[bytes]):
-        sizes = np.array([len(s) for s in strings], np.int64)
+        place: dict[bytes, int] = {}
+        self.which = np.array([place.setdefault(s, len(place)) for s in strings], np.int64)
+        self.copies = np.bincount(self.which, minlength=len(place))
+        distinct = list(place)
+        sizes = np.array([len(s) for s in distinct], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]]).astype(np.int64)
         self.sizes = sizes
-        raw = np.frombuffer(b"\0".join([*strings, b""]), np.uint8)
+        raw = np.frombuffer(b"\0".join([*distinct, b""]), np.uint8)
         self.symbols = raw.astype(np.int16) + 1
         self.symbols[self.starts + sizes] = 0
         order, ranks, lengths = suffix_order(self.symbols)
         bwt = self.symbols[order - 1]
         # what follows a string's end isn't its own: runs of the end symbol are cut everywhere
         change = np.nonzero((np.diff(bwt) != 0) | (bwt[1:] == 0))[0] + 1
-        #: Run-length form: where runs begin in suffix order, and their symbol.
+        #: Run-length form: where runs begin in suffix order, their symbol, and their length with all copies.
         self.heads = np.concatenate([[0], change])
         self.letters = bwt[self.heads]
+        weight = np.repeat(self.copies, sizes + 1)
+        self.lengths = np.add.reduceat(weight[order], self.heads)
         # samples: text positions at the beginnings and the ends of runs, and what they share across the border
         self.first, self.last = order[change], order[change - 1]
         self.shared = common_length(self.first, self.last, ranks, lengths, self.symbols)
         self.ends = order[0], order[-1]
 
     def matching_statistics(self) -> np.ndarray:
-        """For each position, the length of its longest match with any other position."""
+        """For each position of the distinct strings, the length of its longest match with any other position."""
         n = len(self.symbols)
         out = np.zeros(n, np.int64)
         for sample, alone in ((self.first, self.ends[0]), (self.last, self.ends[1])):
@@ -92,9 +103,14 @@ class RunIndex:
             # the last position of the text precedes the first: it starts from its own sample
             stream = np.where(k >= 0, length[k] - (np.arange(n) - at[k]), length[-1] - (np.arange(n) + n - at[-1]))
             np.maximum(out, stream, out=out)
-        return out
+        # a suffix that has copies has one for neighbour: they agree to their end
+        ends = np.repeat(self.starts + self.sizes, self.sizes + 1)
+        return np.where(np.repeat(self.copies > 1, self.sizes + 1), np.maximum(out, ends - np.arange(n)), out)
 
     def repeated(self, width: int) -> list[np.ndarray]:
         """For each string, which of its windows of ``width`` bytes also start elsewhere."""
+        if not len(self.which):
+            return []
         long = self.matching_statistics() >= width
-        return [long[a : a + max(0, n - width + 1)] for a, n in zip(self.starts.tolist(), self.sizes.tolist())]
+        of = [long[a : a + max(0, n - width + 1)] for a, n in zip(self.starts.tolist(), self.sizes.tolist())]
+        return [of[k] for k in self.which.tolist()]

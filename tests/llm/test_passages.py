@@ -62,7 +62,22 @@ def test_index_finds_all_repeats():
         letters = rng.choice([b"ab", b"abc", bytes(range(256))])
         base = bytes(rng.choice(letters) for _ in range(60))
         strings = {base[a : a + rng.randint(1, 40)] for a in (rng.randint(0, 30) for _ in range(5))} - {b""}
-        strings, width = sorted(strings), rng.randint(2, 12)
+        strings, width = sorted([*strings, *rng.sample(sorted(strings), min(len(strings), rng.randint(0, 3)))]), rng.randint(2, 12)
         count = collections.Counter(s[i : i + width] for s in strings for i in range(len(s) - width + 1))
         for s, got in zip(strings, RunIndex(strings).repeated(width)):
             assert [count[s[i : i + width]] > 1 for i in range(len(s) - width + 1)] == got.tolist()
+
+
+def test_copies_lengthen_runs_and_add_none():
+    one, many = RunIndex([b"banana bread"]), RunIndex([b"banana bread"] * 50)
+    assert len(one.heads) == len(many.heads) and (many.lengths == 50 * one.lengths).all()
+    assert many.lengths.sum() == 50 * 13
+
+
+def test_texts_over_the_step(docs):
+    """Runs break at a mebibyte; repeats that lie across the break are found whole."""
+    rng = random.Random(9)
+    long = "".join(rng.choice("abcdefghij ") for _ in range((1 << 20) + 5_000))
+    rows = [(1, long, "s"), (2, "start " + long[(1 << 20) - 300 : (1 << 20) + 250] + " end", "s"), (3, long[10:95], "s"), (4, long[(1 << 20) + 900 :][:3_000], "s")]
+    out = passage_digest(docs(rows), width=80, gram=30)
+    assert sorted(map(tuple, out.collect()), key=str) == brute(rows, 80)
