@@ -1,12 +1,14 @@
 """Quality classifier by co-training (Blum and Mitchell, 1998).
 
 Two logistic models look at two views of a document: its text (counts of byte
-pairs, and how much words repeat) and its page (language, source, length, form
-of its lines).  Over several rounds each labels the unlabelled documents it is
-surest of for the other.  Both are then calibrated on held-out labels and
-combined, and all documents are scored.
-
-The fit takes a bounded sample; scoring reads whole texts, batch by batch.
+pairs, and how much words repeat) and its page, that is the columns that come
+with it (language, source, length, address), no byte of the text.  Over several
+rounds each scores all unlabelled documents and labels those it is surest of
+for the other.  Both are then calibrated on held-out labels and combined, and
+all documents are scored.
+
+A model is fitted on a bounded sample of labelled rows, whose features the
+executors compute from whole texts; candidates for new labels are all rows.
 """
 
 from __future__ import annotations
@@ -19,15 +21,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, written
 
-#: Buckets for pairs of bytes, and for sources and languages.
-PAIRS, NAMES = 1024, 256
+#: Buckets for pairs of bytes, and for what the page says.
+PAIRS, NAMES = 1024, 512
 #: Bytes looked at in one step, to bound memory on long texts.
 STEP = 1 << 20
+#: Columns that make up a page's view, if a table has them.
+PAGE = ("lang", "source", "n_chars", "url")
 
 
 def text_view(text: str | None) -> np.ndarray:
@@ -56,21 +60,23 @@ def text_view(text: str | None) -> np.ndarray:
     return np.concatenate([np.sqrt(counts / total), extra, [np.log1p(n) / 10]]).astype(np.float32)
 
 
-def page_view(lang: str | None, source: str | None, text: str | None) -> np.ndarray:
-    """Language and source, hashed, and the page's form: length, lines, letters, capitals, signs."""
+def page_view(page: dict[str, object]) -> np.ndarray:
+    """What the columns say: names and pairs of names, hashed, the host of an address, and numbers by their size."""
     out = np.zeros(NAMES, np.float32)
-    for name, value in (("l", lang), ("s", source)):
-        out[zlib.crc32(f"{name}:{value}".encode("utf-8", "surrogatepass")) % NAMES] = 1
-    raw = (text or "").encode("utf-8", "surrogatepass")
-    kinds = np.bincount(np.frombuffer(raw, np.uint8), minlength=256) if raw else np.zeros(256)
-    n = max(1, len(raw))
-    lines = raw.count(b"\n") + 1
-    capitals = kinds[65:91].sum() / n
-    letters = (kinds[97:123].sum() + kinds[128:].sum()) / n
-    blank = (kinds[32] + kinds[9:14].sum()) / n
-    form = [np.log1p(len(raw)) / 12, np.log1p(lines) / 6, np.log1p(n / lines) / 8, capitals, letters, blank, 1 - capitals - letters - blank]
-    form = np.array(form, np.float32)
-    return np.concatenate([out, form, form**2])
+    marks, sizes = [], []
+    for name, value in sorted(page.items()):
+        if isinstance(value, (int, float)) and value == value:
+            sizes.append(np.log1p(max(0.0, float(value))))
+            marks.append(f"{name}:{int(2 * sizes[-1])}")
+        else:
+            text = None if value is None or value != value else str(value)
+            marks.append(f"{name}:{text}")
+            if text and "://" in text:
+                marks.append(f"{name}:" + text.split("://", 1)[1].split("/", 1)[0])
+    for m in [*marks, *(f"{x}|{y}" for i, x in enumerate(marks) for y in marks[i + 1 :])]:
+        out[zlib.crc32(m.encode("utf-8", "surrogatepass")) % NAMES] += 1
+    size = sum(sizes) / 12
+    return np.concatenate([out, np.array([size, size * size], np.float32)])
 
 
 @dataclass
@@ -116,134 +122,241 @@ class CoTrained:
     page: Logistic
     combine: np.ndarray  # text, page, bias
 
-    def score(self, texts, langs, sources) -> np.ndarray:
-        """Probability that each document is of good quality."""
-        out = np.empty(len(texts))
+    def logits(self, texts: list, pages: list[dict[str, object]]) -> tuple[np.ndarray, np.ndarray]:
+        a, b = np.empty(len(texts)), np.empty(len(texts))
         for i in range(0, len(texts), 256):
-            t = list(texts[i : i + 256])
-            a = self.text.logit(np.stack([text_view(x) for x in t]))
-            b = self.page.logit(np.stack([page_view(ln, s, x) for ln, s, x in zip(langs[i : i + 256], sources[i : i + 256], t)]))
-            s = np.clip(a, -20, 20) * self.combine[0] + np.clip(b, -20, 20) * self.combine[1] + self.combine[2]
-            out[i : i + 256] = 1 / (1 + np.exp(-s))
-        return out
-
-
-def co_train(sample: pd.DataFrame, rounds: int = 4, share: float = 0.1, held_out: float = 0.25, seed: int = 5) -> CoTrained:
-    """Fit on ``sample`` (text, lang, source, quality; quality null: unlabelled).
-
-    Each round, each view hands the other the ``share`` of the unlabelled
-    documents it is surest of, good and bad in the proportion of the labels.
-    Pseudo-labels count half.  ``held_out`` of the labelled rows calibrate and
-    combine the views and aren't trained on.  With labels of one kind only, or
-    none, all scores are 1: nothing says that anything is bad.
-    """
-    y = sample["quality"].to_numpy(np.float64)
-    known = ~np.isnan(y)
-    if known.sum() < 8 or len(set(y[known])) < 2:
-        flat = Logistic(weights=np.zeros(PAIRS + 5, np.float32), mean=np.zeros(PAIRS + 5, np.float32))
-        form = Logistic(weights=np.zeros(NAMES + 14, np.float32), mean=np.zeros(NAMES + 14, np.float32))
-        return CoTrained(flat, form, np.array([0.0, 0.0, 40.0]))
-    rng = np.random.default_rng(seed)
-    a = np.stack([text_view(t) for t in sample["text"]])
-    b = np.stack([page_view(*r) for r in sample[["lang", "source", "text"]].itertuples(index=False)])
-    calibrate = np.zeros(len(y), bool)
-    for kind in (0, 1):
-        rows = np.nonzero(known & (y == kind))[0]
-        calibrate[rng.permutation(rows)[: max(1, int(held_out * len(rows)))]] = True
-    train = known & ~calibrate
-    if len(set(y[train])) < 2:
-        train, calibrate = known, known
-    balance = np.where(y[train] == 1, 0.5 / y[train].mean(), 0.5 / (1 - y[train].mean()))
-    lent: list[dict[int, float]] = [{}, {}]  # pseudo-labels for the text view and for the page view
-    free = np.nonzero(~known)[0]
-    views, models = (a, b), [Logistic(), Logistic()]
-
-    def refit(k: int) -> None:
-        rows = np.array(sorted(lent[k]), int)
-        x = np.concatenate([views[k][train], views[k][rows]])
-        t = np.concatenate([y[train], [lent[k][r] for r in rows]])
-        w = np.concatenate([balance, np.full(len(rows), 0.5)])
-        models[k].fit(x, t, w)
-
-    bad = 1 - y[train].mean()
-    for _ in range(rounds):
-        for k in (0, 1):
-            refit(k)
-        if not len(free):
-            break
-        for k in (0, 1):
-            open_ = np.array([r for r in free if r not in lent[1 - k]], int)
-            if not len(open_):
-                continue
-            s = models[k].logit(views[k][open_])
-            order = np.argsort(s, kind="stable")
-            n = max(1, int(share * len(open_)))
-            low, high = order[: max(1, int(bad * n))], order[len(order) - max(1, int((1 - bad) * n)) :]
-            lent[1 - k] |= {int(open_[r]): 0.0 for r in low if s[r] < -1}
-            lent[1 - k] |= {int(open_[r]): 1.0 for r in high if s[r] > 1}
+            on = slice(i, i + 256)
+            a[on] = self.text.logit(np.stack([text_view(x) for x in texts[on]]))
+            b[on] = self.page.logit(np.stack([page_view(x) for x in pages[on]]))
+        return np.clip(a, -20, 20), np.clip(b, -20, 20)
+
+    def score(self, texts: list, pages: list[dict[str, object]]) -> np.ndarray:
+        """Probability that each document is of good quality."""
+        if not len(texts):
+            return np.empty(0)
+        a, b = self.logits(texts, pages)
+        return 1 / (1 + np.exp(-(a * self.combine[0] + b * self.combine[1] + self.combine[2])))
+
+
+@dataclass
+class Rows:
+    """Features of both views, labels, and how much each counts."""
+
+    a: np.ndarray
+    b: np.ndarray
+    y: np.ndarray
+
+    def __add__(self, other: Rows) -> Rows:
+        return Rows(np.concatenate([self.a, other.a]), np.concatenate([self.b, other.b]), np.concatenate([self.y, other.y]))
+
+    def only(self, mask: np.ndarray) -> Rows:
+        return Rows(self.a[mask], self.b[mask], self.y[mask])
+
+
+def undecided() -> CoTrained:
+    """A model that scores everything 1: nothing says that anything is bad."""
+    flat = lambda n: Logistic(weights=np.zeros(n, np.float32), mean=np.zeros(n, np.float32))
+    return CoTrained(flat(PAIRS + 5), flat(NAMES + 2), np.array([0.0, 0.0, 40.0]))
+
+
+def refit(train: Rows, lent: list[Rows | None]) -> list[Logistic]:
+    """Both views on the labelled rows, kinds balanced, and on what the other view has lent, which counts half."""
+    good = train.y.mean()
+    balance = np.where(train.y == 1, 0.5 / good, 0.5 / (1 - good))
+    out = []
     for k in (0, 1):
-        refit(k)
-    s = np.stack([np.clip(m.logit(v[calibrate]), -20, 20) for m, v in zip(models, views)], axis=1)
-    c = Logistic(penalty=1e-2, steps=400).fit(s, y[calibrate], np.ones(int(calibrate.sum())))
+        rows, w = train, balance
+        if lent[k] is not None and len(lent[k].y):
+            rows, w = train + lent[k], np.concatenate([balance, np.full(len(lent[k].y), 0.5)])
+        out.append(Logistic().fit((rows.a, rows.b)[k], rows.y, w))
+    return out
+
+
+def combined(models: list[Logistic], held: Rows) -> CoTrained:
+    """The views weighed by a logistic model of their logits on held-out labels."""
+    s = np.stack([np.clip(m.logit(v), -20, 20) for m, v in zip(models, (held.a, held.b))], axis=1)
+    c = Logistic(penalty=1e-2, steps=400).fit(s, held.y, np.ones(len(held.y)))
     w = c.weights * c.scale
     return CoTrained(models[0], models[1], np.array([w[0], w[1], c.bias - c.mean @ w]))
 
 
+def sure_from(train: Rows, sure: float, rng: np.random.Generator) -> list[tuple[float, float]]:
+    """For each view, the logits up to and from which it is right about a label with probability ``sure``.
+
+    Each half of the rows is scored by a model of the other half, and a
+    logistic model of these scores says what a logit is worth.  A view that
+    tells nothing is never sure.
+    """
+    half = rng.permutation(len(train.y)) % 2 == 0
+    if any(len(set(train.y[m])) < 2 for m in (half, ~half)):
+        return [(-np.inf, np.inf)] * 2
+    z = np.empty((2, len(train.y)))
+    for m in (half, ~half):
+        for k, model in enumerate(refit(train.only(~m), [None, None])):
+            z[k, m] = np.clip(model.logit((train.a, train.b)[k][m]), -20, 20)
+    out, need = [], float(np.log(sure / (1 - sure)))
+    for k in (0, 1):
+        c = Logistic(penalty=1e-2, steps=400).fit(z[k][:, None], train.y, np.ones(len(train.y)))
+        w = float(c.weights[0] * c.scale[0])
+        b = c.bias - float(c.mean[0]) * w
+        out.append(((-need - b) / w, (need - b) / w) if w > 0 else (-np.inf, np.inf))
+    return out
+
+
+def _pages(df: DataFrame, page: tuple[str, ...]) -> Column:
+    """The page's columns that ``df`` has; numbers stay numbers, all else becomes text."""
+    numbers = ("tinyint", "smallint", "int", "bigint", "float", "double")
+    kinds = {c.lower(): t for c, t in df.dtypes}
+    have = [c for c in page if c.lower() in kinds]
+    cols = [df[c].cast("double" if kinds[c.lower()] in numbers else "string").alias(c) for c in have]
+    return F.struct(*cols) if cols else F.struct(F.lit(None).cast("string").alias("none"))
+
+
+def _dicts(pages: pd.DataFrame) -> list[dict[str, object]]:
+    return pages.to_dict("records")
+
+
+def _features(rows: DataFrame) -> Rows:
+    """Features of ``rows`` (d, t, p, y), computed where the texts are and collected: a bounded sample."""
+
+    @F.pandas_udf("struct<a:binary,b:binary>")
+    def of(texts: pd.Series, pages: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"a": [text_view(t).tobytes() for t in texts], "b": [page_view(p).tobytes() for p in _dicts(pages)]})
+
+    got = rows.select("d", "y", of("t", "p").alias("f")).dropDuplicates(["d"]).collect()
+    got.sort(key=lambda r: str(r["d"]))
+    view = lambda name, n: np.array([np.frombuffer(r["f"][name], np.float32) for r in got], np.float32).reshape(-1, n)
+    return Rows(view("a", PAIRS + 5), view("b", NAMES + 2), np.array([r["y"] for r in got], np.float64))
+
+
+def _lent(slim: DataFrame, ids: DataFrame, models: list[Logistic], sure: list[tuple[float, float]], bad: float, share: float, most: int) -> list[Rows | None]:
+    """For each view, the rows of which the other view is surest: all unlabelled rows are scored.
+
+    Histograms of the logits give the bounds that the ``share`` surest pass,
+    good and bad in the proportion of the labels, as far as they are ``sure``
+    (see ``sure_from``); about ``most`` of them, by a hash, are handed over.
+    """
+    shared = slim.sparkSession.sparkContext.broadcast(CoTrained(models[0], models[1], np.array([0.5, 0.5, 0.0])))
+
+    @F.pandas_udf("struct<a:double,b:double>")
+    def of(batches: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
+        for t, p in batches:
+            a, b = shared.value.logits(t.tolist(), _dicts(p))
+            yield pd.DataFrame({"a": a, "b": b})
+
+    scored = slim.filter(F.col("d").isNotNull()).select("d", of("t", "p").alias("s")).select("d", "s.a", "s.b")
+    scored = written(scored)
+    free = scored.join(ids, scored["d"] == ids["_d"], "left_anti")
+    bins = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.floor(F.col(v) * 8).cast("int").alias("q")) for k, v in enumerate("ab")])).alias("x")
+    counts = free.select(bins).groupBy("x.k", "x.q").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 642 rows
+    out: list[Rows | None] = [None, None]
+    for k, v in enumerate("ab"):
+        mine = sorted((r["q"], r["n"]) for r in counts if r["k"] == k)
+        total = sum(n for _, n in mine)
+        if not total:
+            continue
+
+        def bound(bins_: list[tuple[int, int]], wanted: float) -> tuple[int | None, int]:
+            """The last bin that still fits into ``wanted`` rows (the first in any case), and the rows up to it."""
+            have, last = 0, None
+            for q, n in bins_:
+                if last is not None and have + n > wanted:
+                    break
+                have, last = have + n, q
+            return last, have
+
+        low, n0 = bound([x for x in mine if x[0] + 1 <= 8 * sure[k][0]], bad * share * total)
+        high, n1 = bound([x for x in reversed(mine) if x[0] >= 8 * sure[k][1]], (1 - bad) * share * total)
+        cut = 1 << 30
+        q, h = F.floor(F.col(v) * 8), F.pmod(F.xxhash64(F.lit(k), "d"), F.lit(cut))
+        other, (no, yes) = F.col("ab"[1 - k]), sure[1 - k]
+        sides = []
+        # nothing is lent to a view that is sure of the contrary
+        for last, n, ok, y in ((low, n0, lambda: (q <= low) & (other < yes), 0.0), (high, n1, lambda: (q >= high) & (other > no), 1.0)):
+            if last is not None:
+                rate = min(1.0, most * (bad if y == 0 else 1 - bad) / n)
+                sides.append(free.filter(ok() & (h < int(cut * rate))).select(F.col("d").alias("_i"), F.lit(y).alias("y")))
+        if sides:
+            chosen = sides[0] if len(sides) == 1 else sides[0].union(sides[1])
+            # about ``most`` ids, whatever the size of the table
+            out[1 - k] = _features(slim.join(F.broadcast(chosen.dropDuplicates(["_i"])), F.col("d") == F.col("_i")).select("d", "t", "p", "y"))
+    return out
+
+
 def fit_quality(
     df: DataFrame,
     labels: DataFrame,
     doc_id: str = "doc_id",
     text: str = "text",
-    lang: str = "lang",
-    source: str = "source",
     label: str = "quality",
+    page: tuple[str, ...] = PAGE,
     labelled: int = 3_000,
-    unlabelled: int = 1_000,
-    longest: int = 20_000,
+    lent: int = 600,
+    rounds: int = 2,
+    share: float = 0.1,
+    sure: float = 0.98,
+    held_out: float = 0.25,
+    seed: int = 5,
 ) -> CoTrained:
-    """Fit on at most about ``labelled`` and ``unlabelled`` documents, chosen by a hash of the id.
-
-    Documents of over ``longest`` characters aren't fitted on (all are scored),
-    which bounds what the driver receives.  Rows with null labels or ids count
-    as unlabelled; of contradicting labels for an id, the larger counts.
+    """Fit on at most about ``labelled`` labelled documents, chosen by a hash of the id, and all others unlabelled.
+
+    In each of ``rounds`` rounds both views score all unlabelled documents and
+    each labels the ``share`` it is surest of for the other, if its labels are
+    right with probability ``sure`` as far as the known ones tell; the other is
+    then fitted on about ``lent`` of these too.  ``held_out`` of the labelled rows
+    calibrate and combine the views and aren't trained on.
+
+    Texts are read whole.  Rows with a null id lend nothing; null labels and
+    ids don't count, and of contradicting labels for an id the larger does.
+    Null values in a page's columns are values of their own; columns that
+    ``df`` lacks are left out.  With under 8 labels, or labels of one kind
+    only, or no rows, all scores are 1.
     """
     marks = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull())
-    marks = marks.groupBy(F.col(doc_id).alias("_d")).agg(F.max(label).alias("_q"))
-    slim = df.select(df[doc_id].alias("d"), df[text].alias("text"), df[lang].alias("lang"), df[source].alias("source"))
-    slim = slim.filter(F.coalesce(F.length("text"), F.lit(0)) <= longest)
-    ids = slim.select("d").join(marks, F.col("d") == F.col("_d"), "left").select("d", "_q")
-    n = ids.agg(F.count("_q"), F.count(F.lit(1)) - F.count("_q")).first()
+    marks = marks.groupBy(F.col(doc_id).alias("_d")).agg(F.max(label).cast("double").alias("_q"))
+    slim = df.select(df[doc_id].alias("d"), df[text].alias("t"), _pages(df, page).alias("p"))
+    ids = written(slim.filter(F.col("d").isNotNull()).select("d").join(marks, F.col("d") == F.col("_d")).select("_d", "_q").distinct())
+    n = ids.count()
     cut = 1 << 30
-    h = F.pmod(F.xxhash64("d"), F.lit(cut))
-    most = F.when(F.col("_q").isNotNull(), int(cut * min(1.0, labelled / max(1, n[0])))).otherwise(int(cut * min(1.0, unlabelled / max(1, n[1]))))
-    chosen = ids.filter(h < most).filter(F.col("d").isNotNull()).distinct()
-    # about ``labelled + unlabelled`` ids, whatever the size of the table
-    rows = slim.join(F.broadcast(chosen.withColumnRenamed("d", "_i")), F.col("d") == F.col("_i"))
-    sample = rows.select("d", "text", "lang", "source", F.col("_q").cast("double").alias("quality")).dropDuplicates(["d"])
-    got = pd.DataFrame([r.asDict() for r in sample.collect()], columns=["d", "text", "lang", "source", "quality"])
-    got = got.sort_values(["d"]).reset_index(drop=True)
-    return co_train(got.assign(quality=got["quality"].astype(float)))
-
-
-def with_quality(
-    df: DataFrame, model: CoTrained, text: str = "text", lang: str = "lang", source: str = "source", out: str = "quality_score"
-) -> DataFrame:
-    """``df`` and each row's score (probability of good quality), from its whole text.
-
-    Null or empty texts are scored too, by what their page says; null language
-    or source is a value of its own.
+    chosen = ids.filter(F.pmod(F.xxhash64("_d"), F.lit(cut)) < int(cut * min(1.0, labelled / max(1, n))))
+    known = _features(slim.join(F.broadcast(chosen), F.col("d") == F.col("_d")).select("d", "t", "p", F.col("_q").alias("y")))
+    if len(known.y) < 8 or len(set(known.y)) < 2:
+        return undecided()
+    rng = np.random.default_rng(seed)
+    calibrate = np.zeros(len(known.y), bool)
+    for kind in (0, 1):
+        rows = np.nonzero(known.y == kind)[0]
+        calibrate[rng.permutation(rows)[: max(1, int(held_out * len(rows)))]] = True
+    train, held = known.only(~calibrate), known.only(calibrate)
+    if len(set(train.y)) < 2:
+        train = held = known
+    models = refit(train, [None, None])
+    worth = sure_from(train, sure, rng)
+    for _ in range(rounds):
+        models = refit(train, _lent(slim, ids, models, worth, 1 - train.y.mean(), share, lent))
+    return combined(models, held)
+
+
+def with_quality(df: DataFrame, model: CoTrained, text: str = "text", page: tuple[str, ...] = PAGE, out: str = "quality_score") -> DataFrame:
+    """``df`` and each row's score (probability of good quality), from its whole text and its page's columns.
+
+    Null or empty texts are scored too, by what their page says; null columns
+    are values of their own.  Repeated rows get equal scores.  No rows: no rows.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def score(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for t, ln, s in batches:
-            yield pd.Series(shared.value.score(t.tolist(), ln.tolist(), s.tolist()))
+    def score(batches: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.Series]:
+        for t, p in batches:
+            yield pd.Series(shared.value.score(t.tolist(), _dicts(p)))
 
-    return df.withColumn(out, score(df[text], df[lang].cast("string"), df[source].cast("string")))
+    return df.withColumn(out, score(df[text], _pages(df, page)))
 
 
 def keep_good(df: DataFrame, model: CoTrained, least: float = 0.5, **columns) -> DataFrame:
-    """The rows of ``df`` that score at least ``least``; columns as in ``df``."""
+    """The rows of ``df`` that score at least ``least``; columns as in ``df``.
+
+    Rows with null or empty texts are judged by their page; repeated rows stay or go together.
+    """
     s = fresh(df, "quality")
     return with_quality(df, model, out=s, **columns).filter(F.col(s) >= least).drop(s)

@@ -29,6 +29,8 @@ WORD = re.compile(r"\w+")
 BUCKETS, SIZE, FILTERS, WIDTHS = 1 << 22, 8, 8, (1, 2, 3)
 #: Words of a text looked at in one step, and words whose embedding a worker keeps.
 STEP, KEPT_WORDS = 1 << 16, 300_000
+#: Letters of a word that is kept at most: longer ones are looked up anew each time.
+KEPT_LETTERS = 200
 
 
 def parts(word: str) -> list[int]:
@@ -102,7 +104,8 @@ class TextCNN:
                         if mine:
                             r = len(table)
                             table.append(self.emb[list(mine)].sum(axis=0))
-                        known[w] = r
+                        if len(w) <= KEPT_LETTERS:
+                            known[w] = r
                     found[i] = r
         ids = np.array(found, np.int64)
         # windows that see only zeros respond with the bias: a few of them stand for all
@@ -152,9 +155,9 @@ def train(texts: list[str | None], y: np.ndarray, langs: list[str | None], epoch
     """Fit on labelled texts.  Copies count once; without both labels all scores are 0.
 
     One half gives the starting log odds, the other trains the filters, so that
-    these learn what a log odds is worth on unseen texts; then all rows give
-    the log odds.  A quarter of the second half is kept for calibration and for
-    the thresholds of each language.
+    these learn what a log odds is worth on unseen texts; then both give the log odds.
+    A quarter of the second half takes no part in any of this: it calibrates
+    the scores and sets the thresholds of each language.
     """
     first: dict[str | None, int] = {}
     for i, t in enumerate(texts):
@@ -177,7 +180,9 @@ def train(texts: list[str | None], y: np.ndarray, langs: list[str | None], epoch
     a = group == 0
     least = max(2, int(np.log10(len(y))))
     start = log_odds(*_counts([s for s, ok in zip(sets, a) if ok], y[a]), int(y[a].sum()), int((1 - y[a]).sum()), least)
-    whole = log_odds(*_counts(sets, y), int(y.sum()), int((1 - y).sum()), least + 1)
+    # the rows that calibrate give no log odds: their scores have to be those of unseen texts
+    b = group != 2
+    whole = log_odds(*_counts([s for s, ok in zip(sets, b) if ok], y[b]), int(y[b].sum()), int((1 - y[b]).sum()), least + 1)
     names = sorted(start.keys() | whole.keys(), key=lambda p: (-abs(whole.get(p, start.get(p, 0.0))), p))[:parts_kept]
     model.rows = {p: i + 1 for i, p in enumerate(names)}
     noise = rng.normal(0, 0.02, (len(names) + 1, SIZE)).astype(np.float32)

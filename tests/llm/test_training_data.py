@@ -285,6 +285,25 @@ def test_quality_separates_junk_and_keeps_the_rest(spark, docs):
     assert cotraining.keep_good(docs([]), cotraining.fit_quality(docs([]), labels)).count() == 0
 
 
+def test_the_page_view_reads_no_text_and_views_lend_to_each_other(spark):
+    """Sources tell good from bad, and so do words; few labels.  Held-out accuracy beats a model without labels lent."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(1_200):
+        bad = i % 3 == 0
+        words = [("zq" if bad and rng.random() < 0.2 else "") + "".join(rng.choice("aeioubcdst") for _ in range(rng.randint(2, 8))) for _ in range(rng.randint(5, 40))]
+        rows.append((i, " ".join(words), "en", f"{'b' if bad else 'g'}{rng.randint(0, 2)}" if rng.random() < 0.9 else "x", len(" ".join(words))))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, int(i % 3 != 0)) for i in range(150)], "doc_id long, quality int")
+    model = cotraining.fit_quality(df, labels)
+    got = {r["doc_id"]: r["quality_score"] for r in cotraining.with_quality(df, model).collect()}
+    right = np.mean([(got[i] >= 0.5) == (i % 3 != 0) for i in range(150, 1_200)])
+    assert right > 0.9 > 2 / 3  # the share of the larger kind is what a model that knows nothing reaches
+    pages = df.withColumn("text", F.lit(None).cast("string"))
+    only = [r["quality_score"] for r in cotraining.with_quality(pages, model).collect()]
+    assert len(set(only)) > 1 and cotraining.page_view({"lang": "en", "source": None, "n_chars": float("nan")}).shape == (cotraining.NAMES + 2,)
+
+
 def test_toxicity_on_held_out_rows(spark, docs):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8)))
