@@ -118,28 +118,53 @@ def _first_key(limit: int, depth: int) -> str:
     return f"CASE {' '.join(cases)} END"
 
 
-def linked_pairs(fps: DataFrame, limit: int = 4, depth: int = 2) -> DataFrame:
-    """(u, v) with u < v: all pairs of the distinct fingerprints ``fps`` (f) within ``limit`` bits.
-
-    A pair that meets under several keys is kept under the first only, so it
-    comes out once and nothing needs to be made distinct.
-    """
+def _dealt(fps: DataFrame, limit: int, depth: int) -> DataFrame:
+    """(f, k, key): every fingerprint under each of its keys."""
     rows = []
     for k, (_, equal) in enumerate(_keys(limit, depth)):
         key = F.lit(0).cast("long")
         for s in equal:
             key = F.shiftleft(key, s[1]).bitwiseOR(_bits(F.col("f"), *s)) if s[1] < 64 else F.col("f")
         rows.append(F.struct(F.lit(k).alias("k"), key.alias("key")))
-    dealt = fps.select("f", F.explode(F.array(*rows)).alias("r")).select("f", "r.*")
+    return fps.select("f", F.explode(F.array(*rows)).alias("r")).select("f", "r.*")
+
+
+def linked_pairs(fps: DataFrame, limit: int = 4, depth: int = 2) -> DataFrame:
+    """(u, v) with u < v: all pairs of the distinct fingerprints ``fps`` (f) within ``limit`` bits.
+
+    A pair that meets under several keys is kept under the first only, so it
+    comes out once and nothing needs to be made distinct.
+    """
+    return _pairs(_dealt(fps, limit, depth), limit, depth)
+
+
+def _pairs(dealt: DataFrame, limit: int, depth: int, more: str = "true") -> DataFrame:
     a, b = dealt.alias("a"), dealt.alias("b")
-    on = F.expr(f"a.k = b.k AND a.key = b.key AND a.f < b.f AND {_first_key(limit, depth)} = a.k AND bit_count(a.f ^ b.f) <= {limit}")
+    on = F.expr(f"a.k = b.k AND a.key = b.key AND a.f < b.f AND {more} AND {_first_key(limit, depth)} = a.k AND bit_count(a.f ^ b.f) <= {limit}")
     return a.join(b, on).select(F.col("a.f").alias("u"), F.col("b.f").alias("v"))
 
 
-def fingerprint_classes(fps: DataFrame, limit: int = 4, depth: int = 2) -> DataFrame:
-    """(f, root) for the distinct fingerprints ``fps`` (f); root stands for the component."""
-    pairs = linked_pairs(fps, limit, depth)
-    comp = durable(connected_components(pairs))
+def fingerprint_classes(fps: DataFrame, limit: int = 4, depth: int = 3) -> DataFrame:
+    """(f, root) for the distinct fingerprints ``fps`` (f); root stands for the component.
+
+    First each fingerprint is held against the smallest under each of its
+    keys; what that links is a group already.  Then only pairs between
+    different groups are looked at, so a large group doesn't emit its pairs.
+    The longer keys of depth 3 keep chance meetings rare.
+    """
+    dealt = _dealt(fps, limit, depth)
+    heads = dealt.groupBy("k", "key").agg(F.min("f").alias("c"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    heads = broadcast_if_small(durable(heads.select(F.col("k").alias("k2"), F.col("key").alias("key2"), "c")))
+    met = durable(dealt.join(heads, (F.col("k") == F.col("k2")) & (F.col("key") == F.col("key2"))).select("k", "key", "f", "c"))
+    stars = met.filter((F.col("f") != F.col("c")) & (F.bit_count(F.col("f").bitwiseXOR(F.col("c"))) <= limit))
+    groups = durable(connected_components(stars.select(F.col("c").alias("u"), F.col("f").alias("v"))))
+    named = met.join(broadcast_if_small(groups), met["f"] == groups["node"], "left").select("k", "key", "f", F.coalesce("root", "f").alias("g"))
+    # keys that one group has to itself make no pairs
+    mixed = named.groupBy("k", "key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo != hi")
+    mixed = broadcast_if_small(durable(mixed.select(F.col("k").alias("k2"), F.col("key").alias("key2"))))
+    open_ = durable(named.join(mixed, (F.col("k") == F.col("k2")) & (F.col("key") == F.col("key2"))).select("k", "key", "f", "g"))
+    links = _pairs(open_, limit, depth, "a.g <> b.g").union(groups.select(F.col("root").alias("u"), F.col("node").alias("v")))
+    comp = durable(connected_components(links))
     alone = fps.join(comp, fps["f"] == comp["node"], "left_anti").select("f", F.col("f").alias("root"))
     return comp.select(F.col("node").alias("f"), "root").union(alone)
 
@@ -159,7 +184,7 @@ def near_duplicates(
     least = durable(slim.groupBy("f").agg(F.min("doc_id").alias("least")))
     classes = durable(fingerprint_classes(least.select("f"), limit))
     roots = classes.join(least, "f").groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = classes.join(roots, "root").select(F.col("f").alias("_f"), "component_id")
+    labels = broadcast_if_small(durable(classes.join(roots, "root").select(F.col("f").alias("_f"), "component_id")))
     return slim.join(labels, slim["f"] == labels["_f"]).select(
         F.col("doc_id").alias(doc_id),
         F.lpad(F.lower(F.hex("f")), 16, "0").alias("fingerprint"),
