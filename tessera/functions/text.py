@@ -103,18 +103,40 @@ def sections(df: DataFrame, text: str) -> DataFrame:
 
 
 #: Entities decoded after the tags are gone, the ampersand last.
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&amp;": "&"}
+ENTITIES = {
+    "&nbsp;": "\u00a0", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&ndash;": "–", "&mdash;": "—", "&lsquo;": "‘", "&rsquo;": "’",
+    "&ldquo;": "“", "&rdquo;": "”", "&bull;": "•", "&middot;": "·", "&hellip;": "…", "&copy;": "©", "&reg;": "®", "&trade;": "™", "&sect;": "§", "&euro;": "€",
+    "&pound;": "£", "&yen;": "¥", "&cent;": "¢", "&deg;": "°", "&plusmn;": "±", "&times;": "×", "&frac12;": "½", "&frac14;": "¼", "&frac34;": "¾",
+    "&eacute;": "é", "&egrave;": "è", "&agrave;": "à", "&ccedil;": "ç", "&auml;": "ä", "&ouml;": "ö", "&uuml;": "ü", "&Auml;": "Ä", "&Ouml;": "Ö",
+    "&Uuml;": "Ü", "&szlig;": "ß", "&ntilde;": "ñ", "&amp;": "&",
+}
+
+
+def _numbered(x: Column) -> Column:
+    """Characters given by number, decimal or hexadecimal, from what splits at each of them."""
+    digits = F.regexp_extract_all(x, F.lit("(?i)&#(x[0-9a-f]{1,6}|[0-9]{1,7});"), F.lit(1))
+    parts = F.split(x, "(?i)&#(?:x[0-9a-f]{1,6}|[0-9]{1,7});")
+
+    def char(d: Column) -> Column:
+        code = F.when(F.lower(F.substring(d, 1, 1)) == "x", F.conv(F.substring(d, 2, 8), 16, 10)).otherwise(d).cast("int")
+        return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32BE")
+
+    told = F.concat(F.transform(digits, char), F.array(F.lit("")))
+    return F.array_join(F.zip_with(parts, told, lambda a, b: F.concat(a, b)), "")
 
 
 def html_to_text(html: Column, decode: bool = True) -> Column:
-    """Text of a page: scripts and styles dropped, breaks for br, p and div, blanks collapsed."""
-    x = F.regexp_replace(html, r"(?is)<script[^>]*>.*?</script>", " ")
-    x = F.regexp_replace(x, r"(?is)<style[^>]*>.*?</style>", " ")
-    x = F.regexp_replace(x, r"(?i)<br[^>]*>|</p>|</div>", "\n")
+    """Text of a page: scripts and styles dropped, lines for br, ends of p and div, other tags and blanks as one space.
+
+    Entities are decoded last, if asked: by number all of them, by name those in ``ENTITIES``.
+    """
+    x = F.regexp_replace(html, r"(?is)<script.*?>.*?</script>", " ")
+    x = F.regexp_replace(x, r"(?is)<style.*?>.*?</style>", " ")
+    x = F.regexp_replace(x, r"(?i)<br\s*/?>|</p\s*>|</div\s*>", "\n")
     x = F.regexp_replace(x, r"<[^>]+>", " ")
     x = F.regexp_replace(x, r"[ \t]+", " ")
-    x = F.regexp_replace(F.regexp_replace(x, r"\n[ \n]*", "\n"), r"^\s+|\s+$", "")
     if decode:
+        x = F.when(x.rlike("(?i)&#(?:x[0-9a-f]{1,6}|[0-9]{1,7});"), _numbered(x)).otherwise(x)
         for name, value in ENTITIES.items():
             x = F.replace(x, F.lit(name), F.lit(value))
     return x

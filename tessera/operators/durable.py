@@ -5,6 +5,10 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Rows up to which a table of a few narrow columns may be broadcast (about 10 MB).
+BROADCAST_ROWS = 100_000
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -20,3 +24,11 @@ def durable(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-"))
     return df.checkpoint(eager=True)
+
+
+def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint for a table counted to have at most ``most`` rows; above that, none.
+
+    ``df`` should be cheap to count, or durable.
+    """
+    return F.broadcast(df) if df.count() <= most else df

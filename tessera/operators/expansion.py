@@ -89,26 +89,141 @@ def merge(initial: DataFrame, expanded: DataFrame, cap: int = 80) -> DataFrame:
     return both.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= cap).drop("score")
 
 
-def allocate_budgets(relations: list[tuple[str, float]], total: int, most: int = 10, least: float = 0.10) -> dict[str, int]:
-    """Whole budgets in proportion to probabilities, capped, the excess shared, never over ``total``.
+def query_overlap(text: Column, question: Column) -> Column:
+    """1 and the share of the question's words in the text, that at most 0.5."""
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != ""))
+    n = F.size(F.array_intersect(words(question), words(text)))
+    return 1 + F.least(n / F.greatest(F.size(words(question)), F.lit(1)), F.lit(0.5))
 
-    Rounds halves to even.  A handful of relations, so it is worked out on the driver.
+
+def same_filing(seeds: DataFrame, chunks: DataFrame, questions: DataFrame, budget: int | None = None) -> DataFrame:
+    """Chunks of the seed's document: tables count 1.2 times, other sections 0.8 times, and by ``query_overlap``.
+
+    ``chunks``: chunk_id, doc_id, section, is_table, text; ``questions``: query_id, question.
+    """
+    s = _seeds(seeds, chunks, "doc_id", "section").join(questions.select("query_id", "question"), "query_id")
+    c = chunks.select("chunk_id", "doc_id", "section", "is_table", "text")
+    rows = s.join(c, (F.col("seed_doc_id") == F.col("doc_id")) & (F.col("chunk_id") != F.col("seed_id")))
+    bonus = F.when(F.col("is_table"), 1.2).otherwise(1.0) * F.when(F.col("section") == F.col("seed_section"), 1.0).otherwise(0.8)
+    return _claimed(_without_seeds(rows, seeds), "same_filing", 1, bonus * query_overlap(F.col("text"), F.col("question")), budget)
+
+
+def same_company_year(seeds: DataFrame, chunks: DataFrame, asked: DataFrame, budget: int | None = None) -> DataFrame:
+    """Chunks of the seed's company and year, 1.5 times if they name one of the query's metrics.
+
+    ``chunks`` has metrics, ``asked`` query_id and q_metrics, both arrays of names.
     """
-    chosen = [(r, p) for r, p in relations if p >= least]
-    whole = sum(p for _, p in chosen)
-    if whole <= 0:
-        return {}
-    share = {r: p / whole * total for r, p in chosen}
-    capped = {r: min(v, most) for r, v in share.items()}
-    out = {r: max(1, round(v)) if v >= 0.5 else 0 for r, v in capped.items()}
-    excess = sum(share[r] - capped[r] for r in share)
-    open_ = [r for r in out if share[r] < most and out[r] > 0]
-    if excess > 0.5 and open_:
-        extra = max(1, round(excess / len(open_)))
-        out |= {r: min(most, out[r] + extra) for r in open_}
-    while sum(out.values()) > total:
-        top = max(out, key=out.__getitem__)
-        if out[top] <= 1:
-            break
-        out[top] -= 1
-    return {r: n for r, n in out.items() if n}
+    s = _seeds(seeds, chunks, "company", "filing_year").join(asked.select("query_id", "q_metrics"), "query_id")
+    c = chunks.select("chunk_id", "company", "filing_year", "metrics")
+    on = (F.col("seed_company") == F.col("company")) & (F.col("seed_filing_year") == F.col("filing_year")) & (F.col("chunk_id") != F.col("seed_id"))
+    bonus = F.when(F.arrays_overlap("metrics", "q_metrics"), 1.5).otherwise(1.0)
+    return _claimed(_without_seeds(s.join(c, on), seeds), "same_company_year", 1, bonus, budget)
+
+
+def _times(*bonuses: tuple[str, float]) -> Column:
+    out = F.lit(1.0)
+    for name, value in bonuses:
+        out = out * F.when(F.col(name) == F.col(f"seed_{name}"), value).otherwise(1.0)
+    return out
+
+
+def same_metric(seeds: DataFrame, chunks: DataFrame, asked: DataFrame, budget: int | None = None) -> DataFrame:
+    """Chunks that name one of the query's metrics, from each seed: 1.3 times in its company, 1.2 in its year, 1.1 in its document.
+
+    A chunk's best bonus over all seeds is what counts, so for each query and
+    metric the chunks are met once with each seed; seeds are a few a query.
+    """
+    s = _seeds(seeds, chunks, "company", "filing_year", "doc_id").join(asked.select("query_id", F.explode("q_metrics").alias("m")), "query_id")
+    c = chunks.select("chunk_id", "company", "filing_year", "doc_id", F.explode("metrics").alias("m2"))
+    rows = s.join(c, F.col("m") == F.col("m2"))
+    bonus = _times(("company", 1.3), ("filing_year", 1.2), ("doc_id", 1.1))
+    return _claimed(_without_seeds(rows, seeds), "same_metric", 2, bonus, budget)
+
+
+def same_year(seeds: DataFrame, chunks: DataFrame, asked: DataFrame, budget: int | None = None) -> DataFrame:
+    """For queries that name a year: chunks of the seed's year, 1.5 times in its company, else 1.2 in its document."""
+    some = asked.filter(F.size("q_years") > 0).select("query_id")
+    s = _seeds(seeds, chunks, "company", "filing_year", "doc_id").join(some, "query_id", "left_semi")
+    c = chunks.select("chunk_id", "company", "filing_year", "doc_id")
+    rows = s.join(c, (F.col("seed_filing_year") == F.col("filing_year")) & (F.col("chunk_id") != F.col("seed_id")))
+    bonus = F.when(F.col("company") == F.col("seed_company"), 1.5).when(F.col("doc_id") == F.col("seed_doc_id"), 1.2).otherwise(1.0)
+    return _claimed(_without_seeds(rows, seeds), "same_year", 2, bonus, budget)
+
+
+def budgets(router: DataFrame, total: int, most: int = 10, least: float = 0.10) -> DataFrame:
+    """(query_id, relation, budget) from ``router`` (query_id, relation, probability).
+
+    Relations of at least ``least`` share ``total`` in proportion, up to
+    ``most`` each and at least one from a share of a half on (halves to even).
+    What the cap takes away is given in equal parts to those under it.  If the
+    sum is then over the total, units are taken from the top, level by level:
+    the largest budget that fits is the one where all above a level come down
+    to it, and those at the level lose one in the order of their names.
+    """
+    q = Window.partitionBy("query_id")
+    x = router.filter(F.col("probability") >= least).withColumn("share", F.col("probability") / F.sum("probability").over(q) * total)
+    first = F.bround(F.least(F.col("share"), F.lit(float(most)))).cast("int")
+    x = x.withColumn("first", F.when(F.col("share") >= 0.5, F.greatest(first, F.lit(1))).otherwise(0))
+    x = x.withColumn("open", ((F.col("share") < most) & (F.col("first") > 0)).cast("int"))
+    x = x.withColumns({"excess": F.sum(F.greatest(F.col("share") - most, F.lit(0.0))).over(q), "opens": F.sum("open").over(q)})
+    more = F.greatest(F.bround(F.col("excess") / F.greatest("opens", F.lit(1))).cast("int"), F.lit(1))
+    given = (F.col("open") == 1) & (F.col("excess") > 0.5)
+    x = x.withColumn("budget", F.when(given, F.least(F.col("first") + more, F.lit(most))).otherwise(F.col("first")))
+    # all budgets of a query beside each row: a handful; the level is where the sum of the capped ones passes the total
+    x = x.withColumn("all", F.collect_list("budget").over(q))
+    capped = lambda v: F.aggregate(F.col("all"), F.lit(0), lambda s, b: s + F.least(b, v))
+    fits = F.filter(F.sequence(F.lit(1), F.lit(most)), lambda v: capped(v) <= total)
+    level = F.when(F.size(fits) == 0, 1).otherwise(F.array_max(fits))
+    x = x.withColumn("level", level).withColumn("spare", F.greatest(F.lit(total) - capped(F.col("level")), F.lit(0)))
+    above = Window.partitionBy("query_id", (F.col("budget") > F.col("level"))).orderBy(F.desc("relation"))
+    x = x.withColumn("turn", F.row_number().over(above))
+    out = F.least(F.col("budget"), F.col("level")) + F.when((F.col("budget") > F.col("level")) & (F.col("turn") <= F.col("spare")), 1).otherwise(0)
+    return x.select("query_id", "relation", out.cast("int").alias("budget")).filter(F.col("budget") > 0)
+
+
+def within_budgets(claims: DataFrame, limits: DataFrame) -> DataFrame:
+    """The best claims of each query and relation, as many as its budget (see ``budgets``)."""
+    order = Window.partitionBy("query_id", "relation").orderBy(F.round("priority", 10).desc(), "chunk_id")
+    x = claims.join(limits, ["query_id", "relation"]).withColumn("_n", F.row_number().over(order))
+    return x.filter(F.col("_n") <= F.col("budget")).drop("_n", "budget")
+
+
+def expand(ranked: DataFrame, chunks: DataFrame, asked: DataFrame, edges: DataFrame, router: DataFrame, seeds: int = 15, initial: int = 50, total: int = 40, cap: int = 80) -> DataFrame:
+    """All relations from the first ``seeds`` of a ranking, each within its budget, merged with the first ``initial``.
+
+    ``ranked``: query_id, chunk_id, score, rank.  ``asked``: query_id, question,
+    q_years, q_metrics.  ``router``: query_id, relation, probability.
+    """
+    s = ranked.filter(F.col("rank") <= seeds)
+    offset = 1 / (1 + F.abs(F.col("word_offset") - F.col("seed_word_offset")) / 1000.0)
+    claims = [
+        adjacent(s, chunks),
+        same_key(s, chunks, "same_section", ["doc_id", "section"], 1, offset, ("word_offset",)),
+        same_filing(s, chunks, asked),
+        same_company_year(s, chunks, asked),
+        same_metric(s, chunks, asked),
+        same_year(s, chunks, asked),
+        along_edges(s, edges),
+    ]
+    every = claims[0]
+    for c in claims[1:]:
+        every = every.unionByName(c)
+    return merge(ranked.filter(F.col("rank") <= initial), within_budgets(every, budgets(router, total)), cap)
+
+
+def diagnostics(merged: DataFrame, gold: DataFrame, queries: DataFrame) -> DataFrame:
+    """One row: mean candidates before and after, recall before and after, queries that gain gold.  Queries without gold count 0."""
+    g = gold.select("query_id", "chunk_id").distinct().withColumn("g", F.lit(1))
+    n = g.groupBy("query_id").agg(F.count(F.lit(1)).alias("golds"))
+    x = merged.join(g, ["query_id", "chunk_id"], "left").withColumn("g", F.coalesce("g", F.lit(0)))
+    first = F.col("is_initial")
+    per = x.groupBy("query_id").agg(
+        F.sum(first.cast("int")).alias("a"), F.sum((~first).cast("int")).alias("b"), F.sum(F.when(first, F.col("g")).otherwise(0)).alias("ga"), F.sum("g").alias("gb")
+    )
+    full = queries.select("query_id").distinct().join(per, "query_id", "left").join(n, "query_id", "left").fillna(0)
+    share = lambda c: F.when(F.col("golds") > 0, F.col(c) / F.col("golds")).otherwise(0.0)
+    mean = lambda c: F.round(F.avg(c), 4)
+    return full.agg(
+        F.count(F.lit(1)).alias("queries"), mean("a").alias("initial"), mean("b").alias("expanded"), mean(share("ga")).alias("recall_before"),
+        mean(share("gb")).alias("recall_after"), F.sum((F.col("gb") > F.col("ga")).cast("int")).alias("queries_with_new_gold"),
+    )

@@ -28,7 +28,10 @@ WEIGHTS = {
     "same-metric": 0.5,
     "semantic-similar": 0.3,
 }
-STRUCTURAL_HINTS = ("filing", "section", "company", "mentions", "year")
+#: Names, or parts of them, of relations in the semantic channel.
+SEMANTIC_HINTS = (
+    "semantic-similar", "same-company", "same-year", "same-metric", "same-section", "same-filing-year", "near-duplicate", "duplicate", "similar",
+)
 
 
 def _node(kind: str, *parts: Column) -> Column:
@@ -147,7 +150,8 @@ def normalized_adjacency(edges: DataFrame, self_loops: bool = True) -> DataFrame
 
 def channel(edge_type: Column) -> Column:
     """"structural" or "semantic" by hints in the name; unknown kinds are structural."""
-    return F.when(F.contains(edge_type, F.lit("semantic")) | (edge_type == "same-metric"), "semantic").otherwise("structural")
+    semantic = F.exists(F.array(*map(F.lit, SEMANTIC_HINTS)), lambda h: F.contains(F.lower(edge_type), h))
+    return F.when(semantic, "semantic").otherwise("structural")
 
 
 def pagerank(edges: DataFrame, seeds: DataFrame, iterations: int = 20, alpha: float = 0.85, every: int = 5) -> DataFrame:
@@ -175,6 +179,19 @@ def pagerank(edges: DataFrame, seeds: DataFrame, iterations: int = 20, alpha: fl
     return score
 
 
+def candidate_subgraphs(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """(query_id, src, dst, weight): for each query the edges within its ``members`` (query_id, node_id) and their neighbours, either way.
+
+    One row an ordered pair, the largest weight; joins on nodes, so only edges at a member's neighbours are copied.
+    """
+    both = durable(bidirectional(edges))
+    m = members.select("query_id", "node_id").distinct()
+    near = m.join(both, m["node_id"] == both["src"]).select("query_id", F.col("dst").alias("node_id"))
+    nodes = durable(m.union(near).distinct())
+    out = nodes.join(both, nodes["node_id"] == both["src"]).select("query_id", "src", "dst", "weight")
+    return out.join(nodes.select("query_id", F.col("node_id").alias("dst")), ["query_id", "dst"], "left_semi").select("query_id", "src", "dst", "weight")
+
+
 def pagerank_converged(edges: DataFrame, seeds: DataFrame, alpha: float = 0.85, most: int = 100, tolerance: float = 1e-6) -> DataFrame:
     """The same until the change falls under ``tolerance``, a query's own subgraph in one task.
 

@@ -70,9 +70,12 @@ def typed_paths(edges: DataFrame, candidates: DataFrame, most: int = 8) -> DataF
     """Typed paths from candidates: query_id, chunk_id, path_type, target, kind, is_match.
 
     Six kinds in a fixed order, the first ``most`` of a candidate kept:
-    company - filing - section - chunk, filing - section, chunk - metric,
-    chunk - year, support by semantic neighbours, and what conflicts.
-    ``candidates`` have q_companies, q_years, q_metrics.
+    company - filing - section - chunk, filing - section, metrics and years of
+    the chunk that the query names, neighbours by semantic edges, either way,
+    that name one of the query's companies, years or metrics, and conflicts:
+    companies, years and metrics of the chunk other than the query's.
+    ``candidates`` have q_companies, q_years, q_metrics; without values of a
+    kind the query has neither matches nor conflicts of it.
     """
     e = edges.select("src", "dst", "edge_type").distinct()
     q = candidates.select("query_id", "chunk_id", "q_companies", "q_years", "q_metrics")
@@ -93,16 +96,28 @@ def typed_paths(edges: DataFrame, candidates: DataFrame, most: int = 8) -> DataF
     has = lambda values, c: F.when(F.size(values) == 0, None).otherwise(F.array_contains(values, c))
     metric = q.join(of("chunk-mentions-metric").select(F.col("src").alias("chunk_id"), F.col("dst").alias("m")), "chunk_id")
     year = q.join(of("chunk-mentions-year").select(F.col("src").alias("chunk_id"), F.col("dst").alias("y")), "chunk_id")
-    found = [
-        row(owned, 1, "company_filing_section", F.col("company"), has(F.col("q_companies"), value(F.col("company"))), "company"),
-        row(chain, 2, "filing_section", F.col("section"), F.lit(None).cast("boolean"), "filing"),
-        row(metric, 3, "chunk_metric", F.col("m"), has(F.col("q_metrics"), value(F.col("m"))), "metric"),
-        row(year, 4, "chunk_year", F.col("y"), has(F.col("q_years"), value(F.col("y"))), "year"),
-    ]
     near = of("semantic-similar")
     both = near.select("src", "dst").union(near.select("dst", "src")).distinct()
     support = q.join(both.select(F.col("src").alias("chunk_id"), F.col("dst").alias("n")), "chunk_id")
-    found.append(row(support, 5, "semantic_support", F.col("n"), F.lit(None).cast("boolean"), "semantic"))
+    told = [
+        (of("chunk-mentions-metric").select(F.col("src").alias("n"), value(F.col("dst")).alias("v")), "q_metrics"),
+        (of("chunk-mentions-year").select(F.col("src").alias("n"), value(F.col("dst")).alias("v")), "q_years"),
+        (filing.join(company, "filing").select(F.col("chunk_id").alias("n"), value(F.col("company")).alias("v")), "q_companies"),
+    ]
+    alike = [support.join(t, "n").filter(F.array_contains(names, F.col("v"))).select("query_id", "chunk_id", "n") for t, names in told]
+    alike = alike[0].union(alike[1]).union(alike[2]).distinct()
+    owner = has(F.col("q_companies"), value(F.col("company")))
+    says = has(F.col("q_metrics"), value(F.col("m"))), has(F.col("q_years"), value(F.col("y")))
+    found = [
+        row(owned, 1, "company_filing_section", F.col("company"), F.when(owner, True), "company"),
+        row(chain, 2, "filing_section", F.col("section"), F.lit(None).cast("boolean"), "filing"),
+        row(metric.filter(says[0]), 3, "chunk_metric", F.col("m"), F.lit(True), "metric"),
+        row(year.filter(says[1]), 4, "chunk_year", F.col("y"), F.lit(True), "year"),
+        row(alike, 5, "semantic_support", F.col("n"), F.lit(None).cast("boolean"), "semantic"),
+        row(metric.filter(~says[0]), 6, "conflict", F.col("m"), F.lit(False), "metric"),
+        row(year.filter(~says[1]), 6, "conflict", F.col("y"), F.lit(False), "year"),
+        row(q.join(filing, "chunk_id").join(company, "filing").filter(~owner), 6, "conflict", F.col("company"), F.lit(False), "company"),
+    ]
     every = found[0]
     for x in found[1:]:
         every = every.union(x)

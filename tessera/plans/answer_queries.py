@@ -29,7 +29,7 @@ def _pairs(spark, d):
 
 def entity_mentions(spark, d):
     t = F.col("text")
-    rows = [("number", F.array_distinct(G.numbers(t))), ("year", E.years(t)), ("filing", E.filing_types(t)), ("metric", E.metrics(t))]
+    rows = [("number", F.array_distinct(G.numbers(t))), ("year", E.years(t)), ("filing", E.filing_types(t)), ("metric", E.metrics(t)), ("company", E.companies(t))]
 
     def named(kind, values):
         return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
@@ -50,10 +50,6 @@ def year_expand(spark, d):
     return spans.select("n_nationkey", F.array_join(E.years_with_ranges(F.col("text")), ",").alias("years"))
 
 
-def comparison_flag(spark, d):
-    return _texts(spark, d).select("id", E.is_comparison(F.col("text")).cast("int").alias("comparison"))
-
-
 def query_type(spark, d):
     q = E.query_type(F.col("text"))
     names = ("numeric", "comparing", "explaining", "general")
@@ -111,7 +107,7 @@ def prompts(spark, d):
 
 def parse_json_props(spark, d):
     e = table(spark, d, "events")
-    return e.select("event_id", F.length(F.regexp_extract(F.col("props"), r"(?s)(\{.*\})", 1)).alias("body"), F.get_json_object("props", "$").isNotNull().cast("int").alias("valid"))
+    return e.select("event_id", F.length(G.json_body(F.col("props"))).alias("body"))
 
 
 def cost_summary(spark, d):
@@ -135,9 +131,10 @@ def text_coverage(spark, d):
 
 
 def manifest_hash(spark, d):
-    """A fingerprint of the corpus: the hash of its sorted texts' hashes, by language."""
+    """A fingerprint of the corpus by language: of its texts' hashes in order, in 4,096 buckets, and then of the buckets in order."""
     docs = table(spark, d, "documents").select("lang", F.md5("text").alias("h"))
-    return docs.groupBy("lang").agg(F.md5(F.array_join(F.array_sort(F.collect_list("h")), "")).alias("fingerprint"))
+    part = docs.groupBy("lang", F.substring("h", 1, 3).alias("b")).agg(F.md5(F.array_join(F.array_sort(F.collect_list("h")), "")).alias("m"))
+    return part.groupBy("lang").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "m"))), lambda x: x["m"]), "")).alias("fingerprint"))
 
 
 def events_tumbling(spark, d):
@@ -159,7 +156,7 @@ def events_session(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        entity_mentions, entity_sets, year_expand, comparison_flag, query_type, metric_canonical, lexicon_longest, answer_eval, answer_eval_summary,
+        entity_mentions, entity_sets, year_expand, query_type, metric_canonical, lexicon_longest, answer_eval, answer_eval_summary,
         verify_numbers, error_taxonomy, token_budget, prompts, parse_json_props, cost_summary, resume_antijoin, text_coverage, manifest_hash,
         events_tumbling, events_session,
     )
@@ -211,7 +208,8 @@ def _ts(t: str) -> str:
 _MENT = f"""{_TXT}, men AS (
   SELECT id, 'number' AS kind, unnest(list_distinct({_num('text')})) AS value FROM txt UNION ALL SELECT id, 'year', unnest({_yr('text')}) FROM txt
   UNION ALL SELECT id, 'filing', unnest(list_distinct(list_transform(regexp_extract_all(text, '{E.FILINGS}'), lambda x: upper(x)))) FROM txt
-  UNION ALL SELECT id, 'metric', unnest(list_distinct(list_transform(regexp_extract_all(text, '{_ALLM}'), lambda x: lower(trim(x))))) FROM txt)"""
+  UNION ALL SELECT id, 'metric', unnest(list_distinct(list_transform(regexp_extract_all(text, '{_ALLM}'), lambda x: lower(trim(x))))) FROM txt
+  UNION ALL SELECT id, 'company', unnest(list_distinct(regexp_extract_all(text, '{E.COMPANIES}', 1))) FROM txt)"""
 _EV = f"""{_PAIR}, v AS MATERIALIZED (SELECT conv_id, turn, NOT regexp_matches(regexp_replace(lower(trim(answer)), '[.!]+$', ''), '^insufficient[\\s_]+evidence$') AS ok,
     {_na('answer')} AS a, {_na('question')} AS g, {_num('answer')} AS na, {_num('question')} AS ng, {_un('answer')} AS ua, {_un('question')} AS ug FROM pairs),
   t AS MATERIALIZED (SELECT *, {_ts('a')} AS ta, {_ts('g')} AS tg FROM v),
@@ -240,7 +238,6 @@ ORACLE_SQL = {
     "entity_sets": f"WITH {_MENT} SELECT id, kind, string_agg(DISTINCT value, '|' ORDER BY value) AS entities FROM men GROUP BY id, kind",
     "year_expand": """WITH y AS (SELECT n_nationkey, unnest(list_concat(range(n_nationkey + 1995, n_nationkey + 1999), [2021, 2022, 2023])) AS y FROM nation)
         SELECT n_nationkey, string_agg(DISTINCT y::VARCHAR, ',' ORDER BY y::VARCHAR) AS years FROM y GROUP BY n_nationkey""",
-    "comparison_flag": f"WITH {_TXT} SELECT id, ({_any('lower(text)', E.COMPARISON)} OR len({_yr('text')}) >= 2)::INT AS comparison FROM txt",
     "query_type": f"""SELECT conv_id, turn, {_NUMERIC}::INT AS numeric, {_any('lower(text)', E.COMPARISON)}::INT AS comparing, {_any('lower(text)', E.EXPLANATION)}::INT AS explaining,
         (NOT ({_NUMERIC} OR {_any('lower(text)', E.COMPARISON)} OR {_any('lower(text)', E.EXPLANATION)}))::INT AS general FROM conversations""",
     "metric_canonical": f"SELECT p_partkey, {_first_alias(chr(116))} AS canonical FROM (SELECT p_partkey, trim(regexp_replace(lower(p_type), '\\s+', ' ', 'g')) AS t FROM part)",
@@ -269,14 +266,15 @@ ORACLE_SQL = {
     "prompts": """WITH x AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS i FROM conversations)
         SELECT conv_id, md5('Question: What was said?' || chr(10) || chr(10) || 'Evidence:' || chr(10) || string_agg('[' || i || '] (' || turn || ') ' ||
           CASE WHEN length(text) > 80 THEN substr(text, 1, 80) || '...' ELSE text END, chr(10) ORDER BY i)) AS prompt_md5, count(*)::INT AS turns FROM x GROUP BY conv_id""",
-    "parse_json_props": r"SELECT event_id, length(regexp_extract(props, '(?s)(\{.*\})', 1))::INT AS body, json_valid(props)::INT AS valid FROM events",
+    "parse_json_props": "SELECT event_id, CASE WHEN json_valid(props) THEN length(props) END::INT AS body FROM events",
     "cost_summary": """SELECT event_type, count(*)::BIGINT AS calls, sum(length(props))::BIGINT AS tokens_in, sum(floor(abs(value))::BIGINT)::BIGINT AS tokens_out,
         sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END)::BIGINT AS failures, round((sum(length(props)) * 0.5::DOUBLE + sum(floor(abs(value))::BIGINT) * 1.5::DOUBLE) / 1e6, 8) AS usd
         FROM events GROUP BY event_type""",
     "resume_antijoin": """WITH e AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, event_type FROM events)
         SELECT DISTINCT user_id, day FROM e ANTI JOIN (SELECT user_id, day FROM e WHERE event_type = 'purchase') p USING (user_id, day)""",
     "text_coverage": "SELECT role, count(*)::BIGINT AS turns, round(avg((length(trim(text)) > 0)::INT), 6) AS coverage FROM conversations GROUP BY role",
-    "manifest_hash": "SELECT lang, md5(string_agg(md5(text), '' ORDER BY md5(text))) AS fingerprint FROM documents GROUP BY lang",
+    "manifest_hash": """WITH p AS (SELECT lang, substr(md5(text), 1, 3) AS b, md5(string_agg(md5(text), '' ORDER BY md5(text))) AS m FROM documents GROUP BY ALL)
+        SELECT lang, md5(string_agg(m, '' ORDER BY b)) AS fingerprint FROM p GROUP BY lang""",
     "events_tumbling": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "events_session": """WITH x AS (SELECT user_id, event_id, epoch_us(ts) AS t, coalesce((epoch_us(ts) - lag(epoch_us(ts)) OVER w > 1800000000)::INT, 1) AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
         s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS session FROM x)

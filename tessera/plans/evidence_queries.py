@@ -85,7 +85,7 @@ def induced_subgraph(spark, d):
 
 
 def edge_channels(spark, d):
-    e = graph_edges(spark, d)
+    e = graph_edges(spark, d).union(same_entity_edges(spark, d))
     return e.groupBy(graph.channel(F.col("edge_type")).alias("channel")).agg(F.count(F.lit(1)).alias("edges"))
 
 
@@ -111,15 +111,25 @@ def ppr_20_iterations(spark, d):
     return p.select("query_id", "node_id", F.round("score", 6).alias("score"))
 
 
+def _subgraphs(spark, d):
+    """Each nation's own company and first twenty candidates, with their neighbours."""
+    seeds = table(spark, d, "nation").select(F.col("n_name").alias("query_id"), F.concat(F.lit("company::"), "n_name").alias("node_id"))
+    members = _ranked(spark, d, 20).select("query_id", F.col("chunk_id").alias("node_id")).union(seeds)
+    few = graph_edges(spark, d).filter(F.col("edge_type").isin("chunk-belongs-to-filing", "company-has-filing"))
+    return graph.candidate_subgraphs(few, members), seeds
+
+
+def candidate_subgraph(spark, d):
+    return _subgraphs(spark, d)[0]
+
+
 def ppr_converged(spark, d):
-    q = table(spark, d, "nation").select(F.col("n_name").alias("query_id"))
-    e = q.join(F.broadcast(_entity_graph(spark, d)))
-    seeds = q.select("query_id", F.concat(F.lit("company::"), "query_id").alias("node_id"))
-    return graph.pagerank_converged(e, seeds).select("query_id", "node_id", F.round("score", 4).alias("score"))
+    return graph.pagerank_converged(*_subgraphs(spark, d)).select("query_id", "node_id", F.round("score", 4).alias("score"))
 
 
 def typed_paths(spark, d):
-    return rerank.typed_paths(graph_edges(spark, d), _candidates(spark, d))
+    near = graph.same_edges(_chunks(spark, d), "doc_id", "semantic-similar", "word_offset")
+    return rerank.typed_paths(graph_edges(spark, d).union(near), _candidates(spark, d))
 
 
 def _features(spark, d):
@@ -240,7 +250,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         graph_nodes, graph_edges, edge_type_counts, node_degree, same_entity_edges, bidirectional_max, two_hop, induced_subgraph, edge_channels,
-        norm_adjacency, knn_edges, ppr_20_iterations, ppr_converged, typed_paths, path_features, rule_path_score, match_conflict_features,
+        norm_adjacency, knn_edges, ppr_20_iterations, candidate_subgraph, ppr_converged, typed_paths, path_features, rule_path_score, match_conflict_features,
         constraint_score, fusion_score, floored_weights, stable_ranking, evidence_sets, expand_adjacent, expand_same_filing, expand_same_section,
         expand_merge, train_pairs, hard_negatives, candidate_company_hint, conflict_rates,
     )
@@ -274,11 +284,17 @@ bi AS MATERIALIZED (SELECT src, dst, max(weight) AS weight FROM both_ GROUP BY s
 _NODES = """, nodes AS (SELECT DISTINCT chunk_id AS node_id, 'chunk' AS node_type FROM ids UNION SELECT co, 'company' FROM ids UNION SELECT fi, 'filing' FROM ids
   UNION SELECT se, 'section' FROM ids UNION SELECT me, 'metric' FROM ids UNION SELECT ye, 'year' FROM ids)"""
 _PATHS = """, q AS (SELECT query_id, chunk_id, ids.*  EXCLUDE (chunk_id) FROM cand JOIN ids USING (chunk_id)),
-allp AS (
-  SELECT query_id, chunk_id, 1 AS o, 'company_filing_section' AS path_type, co AS target, 'company' AS kind, split_part(co, '::', 2) = query_id AS known FROM q
+nx AS (SELECT chunk_id, lead(chunk_id, 1) OVER w AS a, lead(chunk_id, 2) OVER w AS b FROM chunks WINDOW w AS (PARTITION BY doc_id ORDER BY word_offset)),
+nb AS (SELECT chunk_id AS s, a AS t FROM nx WHERE a IS NOT NULL UNION SELECT chunk_id, b FROM nx WHERE b IS NOT NULL UNION SELECT a, chunk_id FROM nx WHERE a IS NOT NULL UNION SELECT b, chunk_id FROM nx WHERE b IS NOT NULL),
+allp0 AS (
+  SELECT query_id, chunk_id, 1 AS o, 'company_filing_section' AS path_type, co AS target, 'company' AS kind, CASE WHEN split_part(co, '::', 2) = query_id THEN true END AS known FROM q
   UNION ALL SELECT query_id, chunk_id, 2, 'filing_section', se, 'filing', NULL FROM q
-  UNION ALL SELECT query_id, chunk_id, 3, 'chunk_metric', me, 'metric', me = 'metric::F' FROM q
-  UNION ALL SELECT query_id, chunk_id, 4, 'chunk_year', ye, 'year', ye = 'year::1995' FROM q),
+  UNION ALL SELECT query_id, chunk_id, 3, 'chunk_metric', me, 'metric', true FROM q WHERE me = 'metric::F'
+  UNION ALL SELECT query_id, chunk_id, 4, 'chunk_year', ye, 'year', true FROM q WHERE ye = 'year::1995'
+  UNION ALL SELECT query_id, q.chunk_id, 5, 'semantic_support', t, 'semantic', NULL FROM q JOIN nb ON s = q.chunk_id JOIN chunks c ON c.chunk_id = t WHERE c.metric = 'F' OR c.filing_year = '1995' OR c.company = query_id
+  UNION ALL SELECT query_id, chunk_id, 6, 'conflict', me, 'metric', false FROM q WHERE me <> 'metric::F' UNION ALL SELECT query_id, chunk_id, 6, 'conflict', ye, 'year', false FROM q WHERE ye <> 'year::1995'
+  UNION ALL SELECT query_id, chunk_id, 6, 'conflict', co, 'company', false FROM q WHERE split_part(co, '::', 2) <> query_id),
+allp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY o, target) AS n FROM allp0) WHERE n <= 8),
 paths AS MATERIALIZED (SELECT query_id, chunk_id, path_type, target, kind, coalesce(known, false)::INT AS is_match, coalesce(NOT known, false)::INT AS is_conflict FROM allp),
 pf AS MATERIALIZED (SELECT query_id, chunk_id, least(count(*) / 8.0::DOUBLE, 1) AS path_count, least(sum(is_match) / 8.0::DOUBLE, 1) AS matched,
   least(sum(is_conflict) / 8.0::DOUBLE, 1) AS conflicting, sum(is_match) / count(*) AS coverage,
@@ -336,12 +352,19 @@ ORACLE_SQL = {
         SELECT seed, seed AS node_id FROM s UNION SELECT * FROM h1 UNION SELECT * FROM h2""",
     "induced_subgraph": f"""WITH {_R}, {_E}{_NODES}, n AS (SELECT chunk_id AS node_id FROM ranked50 UNION SELECT node_id FROM nodes WHERE node_type <> 'chunk')
         SELECT * FROM edges WHERE src IN (SELECT node_id FROM n) AND dst IN (SELECT node_id FROM n)""",
-    "edge_channels": f"WITH {_CE} SELECT CASE WHEN edge_type LIKE '%semantic%' OR edge_type = 'same-metric' THEN 'semantic' ELSE 'structural' END AS channel, count(*)::BIGINT AS edges FROM edges GROUP BY ALL",
+    "edge_channels": f"""WITH {_CE}, x AS (SELECT chunk_id, lead(chunk_id, 1) OVER w AS a, lead(chunk_id, 2) OVER w AS b FROM chunks WINDOW w AS (PARTITION BY doc_id ORDER BY word_offset))
+        SELECT CASE WHEN edge_type IN ('semantic-similar', 'same-company', 'same-year', 'same-metric', 'same-section', 'same-filing-year', 'near-duplicate') THEN 'semantic' ELSE 'structural' END AS channel,
+          sum(n)::BIGINT AS edges FROM (SELECT edge_type, count(*) AS n FROM edges GROUP BY ALL UNION ALL SELECT 'same-company', count(a) + count(b) FROM x) GROUP BY ALL""",
     "norm_adjacency": f"""WITH {_CE}{_BI}, a AS (SELECT * FROM bi UNION ALL SELECT DISTINCT src, src, 1.0::DOUBLE FROM bi), d AS (SELECT src, sum(weight) AS d FROM a GROUP BY src)
         SELECT a.src, a.dst, round(weight / (sqrt(x.d) * sqrt(y.d)), 6) AS value FROM a JOIN d x ON a.src = x.src JOIN d y ON a.dst = y.src""",
     "knn_edges": """WITH s AS (SELECT a.vec_id AS src, b.vec_id AS dst, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id)
         SELECT src, dst, round(s, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(s, 8) DESC, dst) AS n FROM s WHERE s >= 0.2) WHERE n <= 5""",
     "ppr_20_iterations": _ppr_sql(),
+    "candidate_subgraph": f"""WITH {_R}, {_E}, e AS (SELECT src, dst, weight FROM edges WHERE edge_type IN ('chunk-belongs-to-filing', 'company-has-filing')),
+        b AS MATERIALIZED (SELECT src, dst, max(weight) AS weight FROM (SELECT * FROM e UNION ALL SELECT dst, src, weight FROM e) GROUP BY src, dst),
+        m AS (SELECT query_id, chunk_id AS node FROM ranked50 WHERE rank <= 20 UNION SELECT n_name, 'company::' || n_name FROM nation),
+        v AS MATERIALIZED (SELECT query_id, node FROM m UNION SELECT query_id, dst FROM m JOIN b ON src = node)
+        SELECT x.query_id, src, dst, weight FROM v x JOIN b ON src = x.node JOIN v y ON y.query_id = x.query_id AND y.node = dst""",
     "typed_paths": f"WITH {_R}, {_E}{_PATHS} SELECT * FROM paths",
     "path_features": f"WITH {_R}, {_E}{_PATHS} SELECT * REPLACE (round(coverage, 6) AS coverage) FROM pf",
     "rule_path_score": f"""WITH {_R}, {_E}{_PATHS}, b AS (SELECT query_id, chunk_id, {_MM.format(x='score', e='0.5')} AS base FROM cand WINDOW w AS (PARTITION BY query_id))

@@ -47,7 +47,7 @@ def chunk_ids(spark, d):
 
 
 def html_to_text(spark, d):
-    return table(spark, d, "pages").select("page_id", T.html_to_text(F.col("html"), decode=False).alias("text"))
+    return table(spark, d, "pages").select("page_id", T.html_to_text(F.col("html")).alias("text"))
 
 
 def url_metadata(spark, d):
@@ -101,8 +101,7 @@ def _queries20(spark, d):
 
 
 def dense_topk(spark, d):
-    s = retrieval.dense(_vectors(spark, d), _queries20(spark, d), "vec_id", "query_id")
-    top = retrieval.top_k(s, "query_id", "vec_id", K)
+    top = retrieval.dense(_vectors(spark, d), _queries20(spark, d), "vec_id", "query_id", K)
     return top.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -110,13 +109,15 @@ def maxsim_topk(spark, d):
     v = _vectors(spark, d)
     docs = v.select(F.floor(F.col("vec_id") / 4).alias("doc"), "embedding")
     q = v.filter(F.floor(F.col("vec_id") / 4) % 20 == 0).select(F.floor(F.col("vec_id") / 4).alias("query_id"), (F.col("vec_id") % 4).alias("token"), "embedding")
-    top = retrieval.top_k(retrieval.maxsim(docs, q, "doc", "query_id"), "query_id", "doc", K)
+    top = retrieval.maxsim(docs, q, "doc", "query_id", K)
     return top.select("query_id", "doc", F.round("score", 6).alias("score"), "rank")
 
 
 def hybrid_fusion(spark, d):
-    lexical = _bm25(spark, d)
-    semantic = retrieval.tfidf_cosine(_docs(spark, d), _items(spark, d), "doc_id", "item_id")
+    docs, items = _docs(spark, d), _items(spark, d)
+    index = retrieval.kept_postings(docs, "doc_id", "text")
+    lexical = retrieval.bm25(docs, items, "doc_id", "item_id", index=index)
+    semantic = retrieval.tfidf_cosine(docs, items, "doc_id", "item_id", index=index)
     return _rounded(retrieval.hybrid(lexical, semantic, "doc_id", "item_id", K))
 
 
@@ -259,9 +260,9 @@ ORACLE_SQL = {
     "chunk_words": f"WITH {_CHUNKS} SELECT doc_id, word_offset, len(p)::INT AS word_count, md5(array_to_string(p, ' ')) AS text_md5 FROM c",
     "chunk_ids": f"""WITH {_CHUNKS} SELECT doc_id, word_offset, 'text::' || doc_id || '::' || source || '::' || word_offset || '::' ||
         substr(sha1(trim(regexp_replace(lower(array_to_string(p, ' ')), '\\s+', ' ', 'g'))), 1, 10) AS chunk_id FROM c""",
-    "html_to_text": r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
-        '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?i)<br[^>]*>|</p>|</div>', chr(10), 'g'),
-        '<[^>]+>', ' ', 'g'), '[ \t]+', ' ', 'g'), '\n[ \n]*', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM pages""",
+    "html_to_text": r"""SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
+        '(?is)<script.*?>.*?</script>', ' ', 'g'), '(?is)<style.*?>.*?</style>', ' ', 'g'), '(?i)<br\s*/?>|</p\s*>|</div\s*>', chr(10), 'g'),
+        '<[^>]+>', ' ', 'g'), '[ \t]+', ' ', 'g'), '&nbsp;', chr(160)), '&copy;', chr(169)), '&middot;', chr(183)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS text FROM pages""",
     "url_metadata": r"""SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host,
         substr(regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '[^a-z0-9._-]+', '-', 'g'), '-+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80) AS safe_id,
         CASE WHEN regexp_matches(regexp_extract(url, '([^/]*)$', 1), '(?i)^([a-z.]+)[_-]((?:19|20)[0-9]{2})[_-](10-?k|10-?q|8-?k)')

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import expansion, generation, graph, metrics, models, rerank, retrieval, training
+from tessera.operators import alignment, expansion, generation, graph, metrics, models, rerank, retrieval, support, training
 
 
 def rows(df):
@@ -89,12 +89,86 @@ def test_expansion_skips_seeds_and_rates_distance(spark):
     assert got == {"c0": ("c1", 0.5), "c3": ("c1", 0.25), "c4": ("c2", 0.125)}
 
 
-def test_budgets():
-    assert expansion.allocate_budgets([], 30) == {}
-    one = expansion.allocate_budgets([("a", 1.0)], 30)
-    assert one == {"a": 10}
-    many = expansion.allocate_budgets([("a", 0.6), ("b", 0.3), ("c", 0.05), ("d", 0.2)], 12)
-    assert "c" not in many and sum(many.values()) <= 12
+def budget_one_by_one(relations, total, most=10, least=0.1):
+    """Units taken one at a time from the largest budget, ties to the first name."""
+    chosen = {r: p for r, p in relations if p >= least}
+    whole = sum(chosen.values())
+    share = {r: p / whole * total for r, p in chosen.items()}
+    out = {r: max(1, round(min(v, most))) if v >= 0.5 else 0 for r, v in share.items()}
+    excess, open_ = sum(max(v - most, 0) for v in share.values()), [r for r in out if share[r] < most and out[r]]
+    if excess > 0.5 and open_:
+        out |= {r: min(most, out[r] + max(1, round(excess / len(open_)))) for r in open_}
+    while sum(out.values()) > total and max(out.values()) > 1:
+        out[min(r for r in out if out[r] == max(out.values()))] -= 1
+    return {r: n for r, n in out.items() if n}
+
+
+def test_budgets(spark):
+    cases = {
+        "none": [("a", 0.05)], "one": [("a", 1.0)], "capped": [("a", 0.9), ("b", 0.1)], "many": [("a", 0.6), ("b", 0.3), ("c", 0.05), ("d", 0.2)],
+        "even": [(r, 0.5) for r in "abcdefg"], "steep": [("a", 0.99), ("b", 0.98), ("c", 0.97), ("d", 0.1), ("e", 0.1)],
+    }
+    df = spark.createDataFrame([(q, r, p) for q, rs in cases.items() for r, p in rs], "query_id string, relation string, probability double")
+    for total in (3, 12, 30):
+        got = {}
+        for q, r, n in rows(expansion.budgets(df, total)):
+            got.setdefault(q, {})[r] = n
+        for q, rs in cases.items():
+            want = {} if q == "none" else budget_one_by_one(rs, total)
+            assert got.get(q, {}) == want, (q, total)
+
+
+def test_year_expansion_needs_a_year_in_the_question_and_relations_merge_under_the_cap(spark):
+    names = "chunk_id string, doc_id string, section string, company string, filing_year string, word_offset int, is_table boolean, metrics array<string>, text string"
+    chunks = spark.createDataFrame([(f"c{i}", f"d{i // 3}", "s", f"co{i % 2}", f"202{i % 3}", i, False, ["revenue"], f"revenue {i}") for i in range(12)], names)
+    ranked = spark.createDataFrame([(q, f"c{i}", 9.0 - i, i + 1) for q in ("with", "without") for i in range(3)], "query_id string, chunk_id string, score double, rank int")
+    asked = spark.createDataFrame([("with", "revenue in 2021", ["2021"], ["revenue"]), ("without", "revenue", [], ["revenue"])], "query_id string, question string, q_years array<string>, q_metrics array<string>")
+    years = rows(expansion.same_year(ranked, chunks, asked).select("query_id").distinct())
+    assert years == [("with",)]
+    router = spark.createDataFrame([(q, r, 0.5) for q in ("with", "without") for r in expansion.PRIOR], "query_id string, relation string, probability double")
+    edges = spark.createDataFrame([("c0", "c11", 0.5)], "src string, dst string, weight double")
+    out = expansion.expand(ranked, chunks, asked, edges, router, total=14, cap=7)
+    got = out.filter("query_id = 'with'").orderBy("position").collect()
+    assert len(got) == 7 and [r["is_initial"] for r in got] == [True] * 3 + [False] * 4
+    assert any("," in r["relations"] for r in got) and all(r["chunk_id"] != "c12" for r in got)
+
+
+def test_conflicts_need_both_sides_and_the_filing_outranks_the_text(spark):
+    names = "question string, text string, company string, filing_year string, filing_type string, section string"
+    x = spark.createDataFrame(
+        [("What was revenue of Acme Corp in 2020?", "revenue fell in 2020", "Acme", "2019", "10-K", "Item 7"), ("What was revenue?", "net income in 2020", "Acme", "2019", "10-K", "Item 7"),
+         ("Acme Corp in 2020, 10-Q item 1a", "x", "Other", None, None, None), ("in 2020", "in 2019", None, "", None, None)], names)
+    y = support.conflict_features(support.with_passage(support.with_question(x, "question"), "text"))
+    got = [tuple(r[c] for c in ("company_against", "year_against", "metric_against", "filing_type_against", "section_against")) for r in y.collect()]
+    assert got == [(0, 1, 0, 0, 0), (0, 0, 1, 0, 0), (1, 0, 0, 0, 0), (0, 1, 0, 0, 0)]
+
+
+def test_answers_against_evidence(spark):
+    names = "answer string, gold string, evidence string, retrieved array<string>, gold_ids array<string>"
+    x = spark.createDataFrame([("Insufficient evidence. None", "5", "e", ["a"], ["a"]), ("It was $5.5 in 2020", "$5.5", "$5.5 in 2019", ["a", "b"], ["b", "c"]), ("no words here", "x", "other text", [], [])], names)
+    got = generation.judged_answers(x, "answer", "gold", "evidence", "retrieved", "gold_ids").collect()
+    assert got[0]["abstained"] == 1 and got[0]["score"] is None and got[0]["hit"] == 1 and got[0]["mrr"] == 1.0
+    assert (got[1]["score"], got[1]["unsupported"], got[1]["wrong_year"], got[1]["recall"], got[1]["mrr"]) == (0.5, 1, 1, 0.5, 0.5)
+    assert (got[2]["faithfulness"], got[2]["unsupported"], got[2]["hit"]) == (0.0, 1, None)
+
+
+def test_json_in_any_state(spark):
+    raw = ['{"answer": "a"}', 'x ```json\n{"answer": "b"}\n``` y', 'so {"answer": "c",} end', "{'answer': 'd'}", "nothing", None, ""]
+    df = spark.createDataFrame([(r,) for r in raw], "r string")
+    assert [r["g"]["answer"] for r in df.select(generation.parse_generator(F.col("r")).alias("g")).collect()] == ["a", "b", "c", "d", None, None, None]
+
+
+def test_containment_either_way_equals_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    words = [rng.choice("abcde") * rng.randint(1, 3) for _ in range(400)]
+    docs = [(i, " ".join(words[i * 7 : i * 7 + rng.randint(1, 40)])) for i in range(40)] + [(90, None), (91, " ")]
+    items = [(100 + i, " ".join(words[a : a + rng.randint(1, 30)])[rng.randint(0, 1) :]) for i, a in enumerate(range(0, 300, 9))] + [(900, ""), (901, None)]
+    got = rows(alignment.contained(spark.createDataFrame(docs, "d long, text string"), spark.createDataFrame(items, "i long, text string"), "d", "i"))
+    flat = lambda t: " ".join((t or "").split())
+    want = sorted((i, d) for d, t in docs for i, e in items if flat(t) and flat(e) and (flat(e) in flat(t) or flat(t) in flat(e)))
+    assert sorted(got) == want
 
 
 def test_token_budget_skips_what_does_not_fit(spark):
