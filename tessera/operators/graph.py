@@ -137,6 +137,17 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return a.join(n.withColumnRenamed("node_id", "_d"), F.col("dst") == F.col("_d"), "left_semi")
 
 
+def subgraph_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(src, dst, edge_type, weight) among ``nodes``: an edge for each unordered pair and type, smaller end first.
+
+    Of parallel edges and of both directions the one from the smaller end gives the weight, the largest of these.
+    """
+    x = induced(edges, nodes)
+    forward = (F.col("src") <= F.col("dst")).cast("int")
+    one = x.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "edge_type").agg(F.max(F.struct(forward.alias("f"), "weight")).alias("w"))
+    return one.select(F.col("a").alias("src"), F.col("b").alias("dst"), "edge_type", "w.weight")
+
+
 def normalized_adjacency(edges: DataFrame, self_loops: bool = True) -> DataFrame:
     """(src, dst, value): D^-1/2 A D^-1/2 of the bidirectional graph, with loops of weight 1 if asked."""
     a = bidirectional(edges)

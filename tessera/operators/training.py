@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -30,6 +30,43 @@ def hard_negatives(rows: DataFrame, query: str, doc: str, each: int) -> DataFram
     return x.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= each).select(query, doc, "bucket")
 
 
+def strategy_negatives(rows: DataFrame, query: str, doc: str, total: int = 10) -> DataFrame:
+    """Negatives by strategy: a quarter of ``total`` of each, at least one, in order of a hash of both ids.
+
+    Unlike ``hard_negatives``, a row of the same section is also one of its own
+    strategy; what no strategy takes is "random_fallback".
+    """
+    metric, year, section = (F.col(c) == 1 for c in ("metric_same", "year_same", "section_same"))
+    each = F.array_compact(F.array(
+        F.when(metric & ~year, "same_metric_wrong_year"), F.when(year & ~metric, "same_year_wrong_metric"), F.when(section, "same_section"),
+        F.when(~section & (metric == year), "random_fallback"),
+    ))
+    order = Window.partitionBy(query, "strategy").orderBy(F.md5(F.concat_ws("|", F.col(query).cast("string"), F.col(doc).cast("string"))))
+    x = rows.select(query, doc, F.explode(each).alias("strategy")).withColumn("_n", F.row_number().over(order))
+    return x.filter(F.col("_n") <= max(1, total // 4)).drop("_n")
+
+
+def margin_loss(positive: Column, negative: Column, conflicts: list[Column], scales: tuple[float, ...] = (), penalty: float = 0.001) -> Column:
+    """Mean softplus of negative less positive score, a half more for each conflict of the negative; plus the squares of scales."""
+    weight = sum((0.5 * c for c in conflicts), F.lit(1.0))
+    x = negative - positive
+    soft = F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
+    return F.coalesce(F.avg(weight * soft), F.lit(0.0)) + F.lit(penalty * sum(s * s for s in scales))
+
+
+def first_scores(ranked: DataFrame, query: str, doc: str, queries: int = 5) -> DataFrame:
+    """(doc, score): the score that the first of the first ``queries`` queries, by id, gives each document."""
+    few = ranked.select(query).distinct().orderBy(query).limit(queries)
+    x = ranked.join(F.broadcast(few), query, "left_semi")
+    return x.groupBy(doc).agg(F.min_by("score", F.struct(query, "rank")).alias("score"))
+
+
+def sampled_queries(queries: DataFrame, key: str, most: int, first: bool = False, seed: int = 42) -> DataFrame:
+    """At most ``most`` queries: the first by id, or a sample without replacement in order of a hash."""
+    order = F.col(key) if first else F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
+    return queries.orderBy(order, key).limit(most)
+
+
 def split(df: DataFrame, key: str, share: float, seed: int = 42) -> DataFrame:
     """``df`` with is_validation, by a hash of the key: stable when rows are added."""
     h = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1_000_000))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Names under which result files keep a passage's id and their lists.
@@ -74,6 +74,27 @@ def simple_results(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter(F.col("x.chunk_id").isNotNull()).select("query_id", "x.chunk_id", (F.col("p") + 1).alias("rank"), "x.score")
 
 
+def stored_results(spark: SparkSession, path: str, form: str) -> DataFrame:
+    """Stored rankings of either form, "rich" or "simple", with the columns of both; text is null in the second."""
+    if form not in ("rich", "simple"):
+        raise ValueError(f"unknown form of results: {form}")
+    return rich_results(spark, path) if form == "rich" else simple_results(spark, path).withColumn("text", F.lit(None).cast("string"))
+
+
+def record_problem(method: str, labels: dict[str, str]) -> Column:
+    """What is wrong with a record of a stored ranking, null if nothing: a field that lacks, an empty list, another method.
+
+    Columns: question_id, gold_evidence_ids, retrieved_chunk_ids, method; ``labels`` are the names of methods in files.
+    """
+    known = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])
+    other = ~F.element_at(known, F.col("method")).eqNullSafe(F.lit(method))
+    out = F.when(other, F.concat(F.lit("method '"), F.coalesce("method", F.lit("")), F.lit(f"' != '{method}'")))
+    out = F.when(F.size("retrieved_chunk_ids") == 0, "empty retrieved_chunk_ids").otherwise(out)
+    for field in ("retrieved_chunk_ids", "gold_evidence_ids", "question_id"):
+        out = F.when(F.col(field).isNull(), f"missing '{field}'").otherwise(out)
+    return out
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Lines of JSON.  A last line that is cut off is left out; a broken line before it is an error.
 
