@@ -82,6 +82,16 @@ def require_alignment(alignment: DataFrame, least: float, strict: bool) -> str |
     return said
 
 
+def group_means(rows: DataFrame, group: str, names: list[str], shares: list[str] = ()) -> DataFrame:
+    """For each group, null as "unknown": rows, the means of ``names`` without nulls (0 without any), and the mean entropy of ``shares``, if named."""
+    total = sum((F.coalesce(F.col(s), F.lit(0.0)) for s in shares), F.lit(0.0))
+    part = lambda s: F.coalesce(F.col(s), F.lit(0.0)) / total
+    entropy = -sum((F.when((total > 0) & (F.coalesce(F.col(s), F.lit(0.0)) > 0), part(s) * F.log(part(s))).otherwise(0.0) for s in shares), F.lit(0.0))
+    means = [F.round(F.coalesce(F.avg(n), F.lit(0.0)), 4).alias(n) for n in names]
+    more = [F.round(F.avg(entropy), 4).alias("entropy")] if shares else []
+    return rows.groupBy(F.coalesce(F.col(group), F.lit("unknown")).alias(group)).agg(F.count(F.lit(1)).alias("rows"), *means, *more)
+
+
 def metric_of(values: Column, name: str) -> Column:
     """A metric such as recall@10 in a map of names and numbers, under any of the ways to write it; null without one."""
     at = name.split("@")

@@ -78,6 +78,11 @@ def scored(pairs: DataFrame, question: str, text: str, model: Callable[[], Calla
     return pairs.mapInPandas(run, schema)
 
 
+def completed_order(answered: Column, candidates: Column) -> Column:
+    """A model's order of ids, then the candidates that it left out, as they were; all as they were without an answer (null)."""
+    return F.when(answered.isNull(), candidates).otherwise(F.concat(answered, F.array_except(candidates, answered)))
+
+
 def tournament(candidates: DataFrame, choose: Callable[[str, list[str]], int], group: int = 5, most: int = 10, query: str = "query_id", doc: str = "chunk_id") -> DataFrame:
     """The ``most`` best of each query by repeated tournaments: query, doc, rank.
 

@@ -129,6 +129,26 @@ def typed_paths(edges: DataFrame, candidates: DataFrame, most: int = 8) -> DataF
     )
 
 
+def path_arrays(paths: DataFrame, most: int = 8) -> DataFrame:
+    """Each candidate's paths as arrays of ``most`` places: type_ids, matches, conflicts, mask.
+
+    Path types are numbered from 3 on in order of their names, after those of
+    padding (0), unknown (1) and none (2); they are a handful, not data, so
+    their table is broadcast.  Paths come in order of type and target.
+    """
+    kinds = paths.select("path_type").distinct().withColumn("type_id", F.row_number().over(Window.orderBy("path_type")) + 2)
+    x = paths.join(F.broadcast(kinds), "path_type")
+    n = Window.partitionBy("query_id", "chunk_id").orderBy("path_type", "target", "kind")
+    few = x.withColumn("_n", F.row_number().over(n)).filter(F.col("_n") <= most)
+    rows = few.groupBy("query_id", "chunk_id").agg(F.array_sort(F.collect_list(F.struct("_n", "type_id", "is_match", "is_conflict"))).alias("p"))
+    fill = lambda c: F.concat(c, F.array_repeat(F.lit(0), F.lit(most) - F.size(c)))
+    get = lambda name: fill(F.transform("p", lambda s: s[name]))
+    return rows.select(
+        "query_id", "chunk_id", get("type_id").alias("type_ids"), get("is_match").alias("matches"), get("is_conflict").alias("conflicts"),
+        fill(F.transform("p", lambda s: F.lit(1))).alias("mask"),
+    )
+
+
 def path_features(paths: DataFrame, most: int = 8) -> DataFrame:
     """Counts over ``most``, the share that match, and which kinds match or conflict at all."""
     flag = lambda kind, col: F.max(F.when((F.col("kind") == kind) & (F.col(col) == 1), 1).otherwise(0))

@@ -121,6 +121,38 @@ def match_flags(df: DataFrame) -> DataFrame:
     })
 
 
+def node_features(df: DataFrame, question: str = "question", text: str = "text", query: str = "query_id") -> DataFrame:
+    """``df``, nodes of queries' subgraphs, with seven columns about the query.
+
+    Needs node_id, what ``with_question`` adds, company, filing_year and the text of a
+    passage (null for other nodes), retrieval (null unless a candidate) and
+    graph (null without a score).  node_candidate; node_retrieval and node_graph,
+    min-maxed over what a query has (0.5 if all are equal, 0 for null); node_year,
+    node_metric and node_company, by an entity's name or a passage's text and
+    columns; node_overlap, the share of the question's words in the passage.
+    """
+    from tessera.operators.retrieval import min_max
+
+    is_passage = F.col(text).isNotNull()
+    value = lambda kind: F.when(F.startswith("node_id", F.lit(f"{kind}::")), F.substring_index("node_id", "::", -1))
+    norm = lambda c: F.when(F.col(c).isNull(), 0.0).otherwise(min_max(F.col(c), query, 0.5))
+    known = F.exists("q_companies", lambda q: E.overlaps_name(q, F.col("company"))) & _some("company")
+    year = F.array_contains("q_years", F.col("filing_year")) | F.arrays_overlap(E.years(F.col(text)), "q_years")
+    tokens = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(F.col(c)), F.lit("[a-z0-9]+"), F.lit(0)))
+    shared = F.size(F.array_intersect(tokens(question), tokens(text))) / F.greatest(F.size(tokens(question)), F.lit(1))
+    one = lambda kind, names, passage: _flag(F.coalesce(F.array_contains(names, value(kind)), F.when(is_passage, passage)))
+    some = lambda c: F.coalesce(c, F.lit(False))
+    return df.withColumns({
+        "node_candidate": F.col("retrieval").isNotNull().cast("int"),
+        "node_retrieval": norm("retrieval"),
+        "node_graph": norm("graph"),
+        "node_year": one("year", "q_years", some(year)),
+        "node_metric": one("metric", "q_metrics", F.arrays_overlap(E.metrics(F.col(text)), "q_metrics")),
+        "node_company": one("company", "q_companies", some(known) | F.arrays_overlap(E.companies(F.col(text)), "q_companies")),
+        "node_overlap": F.when(is_passage, shared).otherwise(0.0),
+    })
+
+
 def semantic_factor(df: DataFrame) -> Column:
     """What an edge's weight is multiplied by for conflicts at one end (of ``match_flags``): 0.35 company, 0.40 year, 0.50 metric, at least 0.05."""
     out = F.lit(1.0)

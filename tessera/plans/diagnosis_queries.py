@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import diagnostics, graph, pairs, retrieval, training
+from tessera.operators import diagnostics, graph, pairs, rerank, retrieval, support, training
 from tessera.plans import evidence_queries as G
 from tessera.plans import finance_queries as Q
 from tessera.plans.retrieval_queries import table
@@ -130,11 +130,44 @@ def tournament(spark, d):
     return pairs.tournament(Q._pairs(spark, d).select("query_id", "chunk_id", "question", "text", "rank"), _longest, 5, 10)
 
 
+def node_features(spark, d):
+    """Ranked passages, the first 20 of a query as candidates, and three entities."""
+    p = Q._pairs(spark, d)
+    cols = ["query_id", "question", "q_companies", "q_years", "q_metrics"]
+    rank = F.col("rank")
+    chunks = p.select(*cols, F.col("chunk_id").alias("node_id"), "company", "filing_year", "text", F.when(rank <= 20, F.col("score")).alias("retrieval"), (1.0 / rank).alias("graph"))
+    names = F.explode(F.array(F.lit("year::1995"), F.lit("metric::revenue"), F.concat(F.lit("company::"), Q._name("query_id"), F.lit(" Corp"))))
+    null = lambda t, n: F.lit(None).cast(t).alias(n)
+    others = p.filter("rank = 1").select(*cols, names.alias("node_id"), null("string", "company"), null("string", "filing_year"), null("string", "text"), null("double", "retrieval"), null("double", "graph"))
+    x = support.node_features(chunks.union(others))
+    return x.select("query_id", "node_id", *[F.round(c, 6).alias(c) if c in ("node_retrieval", "node_graph", "node_overlap") else c for c in x.columns if c.startswith("node_") and c != "node_id"])
+
+
+def completed_orders(spark, d):
+    """A model that names each query's third, an unknown one and the first passage; every fourth query has no answer."""
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda s: s["chunk_id"])
+    x = G._ranked(spark, d, 6).groupBy("query_id").agg(ids.alias("c")).join(table(spark, d, "nation").select(F.col("n_name").alias("query_id"), "n_nationkey"), "query_id")
+    said = F.when(F.col("n_nationkey") % 4 != 0, F.array(F.get("c", F.lit(2)), F.lit("x"), F.get("c", F.lit(0))))
+    return x.select("query_id", F.array_join(pairs.completed_order(said, F.col("c")), "|").alias("ids"))
+
+
+def group_means(spark, d):
+    """Matches by section, the first section as null, and the entropy of the three."""
+    x = G._judged(spark, d).withColumn("section", F.when(F.col("section") != "1-URGENT", F.col("section")))
+    names = ["company_match", "year_match", "metric_match"]
+    return diagnostics.group_means(x.withColumns({f"s_{n}": F.col(n).cast("double") for n in names}), "section", names, [f"s_{n}" for n in names])
+
+
+def path_arrays(spark, d):
+    x = rerank.path_arrays(G.typed_paths(spark, d))
+    return x.select("query_id", "chunk_id", *[F.array_join(c, ",").alias(c) for c in ("type_ids", "matches", "conflicts", "mask")])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         retrieval_errors, retrieval_error_counts, path_diagnostics, path_counts, gold_alignment, pair_features, entity_vectors, encoder_texts, strategy_negatives,
-        margin_loss, first_scores, sampled_queries, subgraph_edges, merged_reports, pair_scores, tournament,
+        margin_loss, first_scores, sampled_queries, subgraph_edges, merged_reports, pair_scores, tournament, node_features, completed_orders, group_means, path_arrays,
     )
 }
 
@@ -183,4 +216,20 @@ ORACLE_SQL = {
     "pair_scores": f"""WITH {Q._PR}, x AS (SELECT query_id, chunk_id, (length(text) - length(question))::DOUBLE AS score FROM pr)
         SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id))::INT AS rank FROM x) WHERE rank <= 10""",
     "tournament": f"""WITH {Q._PR} SELECT * FROM (SELECT query_id, chunk_id, (row_number() OVER (PARTITION BY query_id ORDER BY length(text) DESC, rank))::INT AS rank FROM pr) WHERE rank <= 10""",
+    "node_features": f"""WITH {Q._PR}, a AS (SELECT query_id, question, qc, qy, qm, nm, chunk_id AS node_id, company, filing_year, metric, text, CASE WHEN rank <= 20 THEN score END AS r, 1.0::DOUBLE / rank AS g FROM pr),
+        c AS (SELECT query_id, node_id, (r IS NOT NULL)::INT AS node_candidate, CASE WHEN r IS NULL THEN 0 ELSE round({G._MM.format(x='r', e='0.5')}, 6) END::DOUBLE AS node_retrieval,
+          round({G._MM.format(x='g', e='0.5')}, 6) AS node_graph, list_contains(qy, filing_year)::INT AS node_year, list_contains(qm, metric)::INT AS node_metric, ({Q._CO[0]} AND {Q._CO[1]})::INT AS node_company,
+          round(len(list_intersect(list_distinct(regexp_extract_all(lower(question), '[a-z0-9]+')), list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')))) / len(list_distinct(regexp_extract_all(lower(question), '[a-z0-9]+')))::DOUBLE, 6) AS node_overlap
+          FROM a WINDOW w AS (PARTITION BY query_id))
+        SELECT * FROM c UNION ALL SELECT query_id, v.n, 0, 0, 0, CASE WHEN v.i = 1 THEN list_contains(qy, '1995')::INT ELSE 0 END, CASE WHEN v.i = 2 THEN list_contains(qm, 'revenue')::INT ELSE 0 END,
+          CASE WHEN v.i = 3 THEN list_contains(qc, nm || ' Corp')::INT ELSE 0 END, 0
+          FROM (SELECT *, unnest([{{'i': 1, 'n': 'year::1995'}}, {{'i': 2, 'n': 'metric::revenue'}}, {{'i': 3, 'n': 'company::' || nm || ' Corp'}}]) AS v FROM pr WHERE rank = 1)""",
+    "completed_orders": f"""WITH {G._R}, c AS (SELECT query_id, list(chunk_id ORDER BY rank) AS c FROM ranked50 WHERE rank <= 6 GROUP BY query_id)
+        SELECT query_id, array_to_string(CASE WHEN n_nationkey % 4 = 0 THEN c ELSE [c[3], 'x', c[1]] || list_filter(c, lambda v: v <> c[3] AND v <> c[1]) END, '|') AS ids FROM c JOIN nation ON n_name = query_id""",
+    "group_means": f"""{_NEG} SELECT CASE WHEN section = '1-URGENT' THEN 'unknown' ELSE section END AS section, count(*)::BIGINT AS "rows", round(avg(company_match), 4) AS company_match, round(avg(year_match), 4) AS year_match,
+        round(avg(metric_match), 4) AS metric_match, round(avg(CASE WHEN company_match + year_match + metric_match > 0 THEN ln(company_match + year_match + metric_match) ELSE 0 END), 4) AS entropy FROM jud GROUP BY 1""",
+    "path_arrays": f"""WITH {G._R}, {G._E}{G._PATHS}, o AS (SELECT *, CASE path_type WHEN 'chunk_metric' THEN 3 WHEN 'chunk_year' THEN 4 WHEN 'company_filing_section' THEN 5 WHEN 'conflict' THEN 6 WHEN 'filing_section' THEN 7 ELSE 8 END AS t FROM paths),
+        l AS (SELECT query_id, chunk_id, list(t ORDER BY path_type, target, kind) AS t, list(is_match ORDER BY path_type, target, kind) AS m, list(is_conflict ORDER BY path_type, target, kind) AS k FROM o GROUP BY ALL)
+        SELECT query_id, chunk_id, array_to_string(list_resize(t, 8, 0), ',') AS type_ids, array_to_string(list_resize(m, 8, 0), ',') AS matches, array_to_string(list_resize(k, 8, 0), ',') AS conflicts,
+          array_to_string(list_resize(list_transform(t, lambda v: 1), 8, 0), ',') AS mask FROM l""",
 }
