@@ -270,8 +270,16 @@ def knn_edges(vectors: DataFrame, key: str, vector: str, m: int, least: float, b
 
 
 def to_arrays(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Dense numbers for nodes, and edges by number: for libraries that take index arrays."""
-    ids = nodes.select("node_id", (F.row_number().over(Window.orderBy("node_id")) - 1).alias("i"))
+    """Dense numbers for nodes, in order of their ids, and edges by number: for libraries that take index arrays.
+
+    Nodes are sorted in ranges and kept; a node's number is its place in its
+    partition and what the partitions before hold, one row a partition.
+    """
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    x = durable(nodes.select("node_id").sort("node_id")).select("node_id", F.spark_partition_id().alias("p"), place.alias("o"))
+    held = x.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+    before = held.select("p", (F.sum("n").over(Window.orderBy("p")) - F.col("n")).alias("b"))
+    ids = x.join(F.broadcast(before), "p").select("node_id", (F.col("b") + F.col("o")).alias("i"))
     by = edges.join(ids.withColumnsRenamed({"node_id": "src", "i": "si"}), "src").join(ids.withColumnsRenamed({"node_id": "dst", "i": "di"}), "dst")
     return ids, by.select("edge_type", "si", "di", "weight")
 

@@ -87,3 +87,11 @@ def test_loss_of_margins(spark):
     got = df.agg(training.margin_loss(F.col("p"), F.col("n"), [F.col("c")], (2.0,)).alias("x")).first()["x"]
     assert abs(got - ((1.5 * math.log1p(math.exp(-1)) + 900) / 2 + 0.004)) < 1e-9
     assert df.limit(0).agg(training.margin_loss(F.col("p"), F.col("n"), [], ()).alias("x")).first()["x"] == 0
+
+
+def test_nodes_are_numbered_in_order_over_partitions(spark):
+    nodes = spark.range(1000).select(F.format_string("n%04d", "id").alias("node_id")).repartition(7)
+    edges = spark.createDataFrame([("n0003", "n0999", "x", 0.5)], "src string, dst string, edge_type string, weight double")
+    ids, by = graph.to_arrays(nodes, edges)
+    assert [(r["node_id"], r["i"]) for r in ids.orderBy("i").collect()] == [(f"n{i:04d}", i) for i in range(1000)]
+    assert [tuple(r) for r in by.collect()] == [("x", 3, 999, 0.5)]
