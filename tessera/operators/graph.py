@@ -165,6 +165,29 @@ def channel(edge_type: Column) -> Column:
     return F.when(semantic, "semantic").otherwise("structural")
 
 
+def channel_adjacency(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(query_id, channel, edge_type, src, dst, value): each query's normalised matrices, both directions.
+
+    ``nodes``: query_id, node_id, factor, which conflicts of a passage with the
+    query take off (``support.semantic_factor``; null for other nodes).  The
+    weight of a semantic edge is multiplied by both ends' factors, at least
+    0.05 together; of parallel edges the largest weight counts, and each kind
+    is divided by the roots of both ends' sums.
+    """
+    def end(name: str) -> DataFrame:
+        return nodes.groupBy("query_id", F.col("node_id").alias(name)).agg(F.min(F.coalesce("factor", F.lit(1.0))).alias(f"_f{name}"))
+
+    x = edges.join(end("src"), "src").join(end("dst"), ["query_id", "dst"]).withColumn("channel", channel(F.col("edge_type")))
+    off = F.greatest(F.col("_fsrc") * F.col("_fdst"), F.lit(0.05))
+    w = F.col("weight") * F.when(F.col("channel") == "semantic", off).otherwise(1.0)
+    key = ["query_id", "channel", "edge_type"]
+    one = x.select(*key, F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e"), w.alias("w"))
+    a = one.groupBy(*key, "e.src", "e.dst").agg(F.max("w").alias("w"))
+    d = a.groupBy(*key, "src").agg((F.sum("w") + 1e-8).alias("_d"))
+    both = a.join(d.withColumnRenamed("_d", "_ds"), [*key, "src"]).join(d.withColumnsRenamed({"src": "dst", "_d": "_dd"}), [*key, "dst"])
+    return both.select(*key, "src", "dst", (F.col("w") / (F.sqrt("_ds") * F.sqrt("_dd"))).alias("value"))
+
+
 def pagerank(edges: DataFrame, seeds: DataFrame, iterations: int = 20, alpha: float = 0.85, every: int = 5) -> DataFrame:
     """Personalised PageRank of all nodes for every query: query_id, node_id, score.
 

@@ -163,11 +163,22 @@ def path_arrays(spark, d):
     return x.select("query_id", "chunk_id", *[F.array_join(c, ",").alias(c) for c in ("type_ids", "matches", "conflicts", "mask")])
 
 
+def channel_adjacency(spark, d):
+    """Among each query's first 30 passages: neighbours of one company, one year (semantic) and, with a made-up kind, one customer's segment (structural)."""
+    p = support.match_flags(Q._pairs(spark, d)).filter("rank <= 30")
+    nodes = p.select("query_id", F.col("chunk_id").alias("node_id"), support.semantic_factor(p).alias("factor"))
+    pool = Q._passages(spark, d).join(nodes.select(F.col("node_id").alias("chunk_id")).distinct(), "chunk_id", "left_semi")
+    kinds = (("company", "same-company"), ("filing_year", "same-year"), ("filing_type", "follows"))
+    every = [graph.same_edges(pool, c, kind) for c, kind in kinds]
+    x = graph.channel_adjacency(every[0].union(every[1]).union(every[2]), nodes)
+    return x.withColumn("value", F.round("value", 6))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         retrieval_errors, retrieval_error_counts, path_diagnostics, path_counts, gold_alignment, pair_features, entity_vectors, encoder_texts, strategy_negatives,
-        margin_loss, first_scores, sampled_queries, subgraph_edges, merged_reports, pair_scores, tournament, node_features, completed_orders, group_means, path_arrays,
+        margin_loss, first_scores, sampled_queries, subgraph_edges, merged_reports, pair_scores, tournament, node_features, completed_orders, group_means, path_arrays, channel_adjacency,
     )
 }
 
@@ -232,4 +243,14 @@ ORACLE_SQL = {
         l AS (SELECT query_id, chunk_id, list(t ORDER BY path_type, target, kind) AS t, list(is_match ORDER BY path_type, target, kind) AS m, list(is_conflict ORDER BY path_type, target, kind) AS k FROM o GROUP BY ALL)
         SELECT query_id, chunk_id, array_to_string(list_resize(t, 8, 0), ',') AS type_ids, array_to_string(list_resize(m, 8, 0), ',') AS matches, array_to_string(list_resize(k, 8, 0), ',') AS conflicts,
           array_to_string(list_resize(list_transform(t, lambda v: 1), 8, 0), ',') AS mask FROM l""",
+    "channel_adjacency": f"""WITH {Q._PR}, nd AS (SELECT query_id, chunk_id, CASE WHEN {Q._CO[0]} AND NOT {Q._CO[1]} THEN 0.35::DOUBLE ELSE 1 END * CASE WHEN len(qy) > 0 AND NOT list_contains(qy, filing_year) THEN 0.4::DOUBLE ELSE 1 END
+          * CASE WHEN NOT list_contains(qm, metric) THEN 0.5::DOUBLE ELSE 1 END AS f FROM pr WHERE rank <= 30),
+        po AS (SELECT * FROM ps WHERE chunk_id IN (SELECT chunk_id FROM nd)),
+        k AS (SELECT chunk_id, 'same-company' AS t, 'semantic' AS ch, 0.5::DOUBLE AS w, company AS v FROM po UNION ALL SELECT chunk_id, 'same-year', 'semantic', 0.5, filing_year FROM po UNION ALL SELECT chunk_id, 'follows', 'structural', 1, filing_type FROM po),
+        l AS (SELECT *, lead(chunk_id, 1) OVER o AS n1, lead(chunk_id, 2) OVER o AS n2 FROM k WINDOW o AS (PARTITION BY t, v ORDER BY chunk_id)),
+        e AS (SELECT chunk_id AS s, n1 AS d, t, ch, w FROM l WHERE n1 IS NOT NULL UNION ALL SELECT chunk_id, n2, t, ch, w FROM l WHERE n2 IS NOT NULL),
+        q1 AS (SELECT a.query_id, ch, t, s, d, w * CASE WHEN ch = 'semantic' THEN greatest(a.f * b.f, 0.05) ELSE 1 END AS w FROM e JOIN nd a ON a.chunk_id = s JOIN nd b ON b.chunk_id = d AND b.query_id = a.query_id),
+        m AS (SELECT query_id, ch, t, s, d, max(w) AS w FROM (SELECT * FROM q1 UNION ALL SELECT query_id, ch, t, d, s, w FROM q1) GROUP BY ALL),
+        g AS (SELECT query_id, t, s AS x, sum(w) + 1e-8::DOUBLE AS g FROM m GROUP BY ALL)
+        SELECT m.query_id, ch AS channel, m.t AS edge_type, s AS src, d AS dst, round(w / (sqrt(a.g) * sqrt(b.g)), 6) AS value FROM m JOIN g a ON a.query_id = m.query_id AND a.t = m.t AND a.x = s JOIN g b ON b.query_id = m.query_id AND b.t = m.t AND b.x = d""",
 }
