@@ -14,7 +14,7 @@ and then compared in full.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -42,11 +42,15 @@ def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
     digest = xxhash.xxh64_digest
     # digests are big-endian: bit i of the row is bit 63 - i of the number
     h = b"".join([digest(joined[a:b], seed) for a, b in zip(first[:n].tolist(), last.tolist())])
+    return _majority(np.frombuffer(h, np.uint8).reshape(n, 8))
+
+
+def _majority(rows: np.ndarray) -> int:
+    """The number whose bits are set in over half of ``rows``, of eight bytes each."""
     ones = np.zeros(64, np.int64)
-    rows = np.frombuffer(h, np.uint8).reshape(n, 8)
-    for i in range(0, n, 4096):  # bounded memory for long texts
+    for i in range(0, len(rows), 4096):  # bounded memory for long texts
         ones += np.unpackbits(rows[i : i + 4096], axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
+    return int.from_bytes(np.packbits(ones * 2 > len(rows)).tobytes(), "big")
 
 
 def fingerprints(text: Column, width: int = 4, seed: int = 42) -> Column:
@@ -118,15 +122,20 @@ def _first_key(limit: int, depth: int) -> str:
     return f"CASE {' '.join(cases)} END"
 
 
-def _dealt(fps: DataFrame, limit: int, depth: int) -> DataFrame:
-    """(f, k, key): every fingerprint under each of its keys."""
+def _ring_rows(limit: int, depth: int) -> list[Column]:
+    """(k, key) for each join key of the fingerprint f."""
     rows = []
     for k, (_, equal) in enumerate(_keys(limit, depth)):
         key = F.lit(0).cast("long")
         for s in equal:
             key = F.shiftleft(key, s[1]).bitwiseOR(_bits(F.col("f"), *s)) if s[1] < 64 else F.col("f")
         rows.append(F.struct(F.lit(k).alias("k"), key.alias("key")))
-    return fps.select("f", F.explode(F.array(*rows)).alias("r")).select("f", "r.*")
+    return rows
+
+
+def _dealt(fps: DataFrame, limit: int, depth: int) -> DataFrame:
+    """(f, k, key): every fingerprint under each of its keys."""
+    return fps.select("f", F.explode(F.array(*_ring_rows(limit, depth))).alias("r")).select("f", "r.*")
 
 
 def linked_pairs(fps: DataFrame, limit: int = 4, depth: int = 2) -> DataFrame:
@@ -192,12 +201,21 @@ def near_duplicates(
     )
 
 
-def shingle_set(text: str | None, width: int) -> np.ndarray:
-    """Hashes of the different word shingles of ``text``, sorted; of all words if there are fewer."""
+#: Smallest shingle hashes by which texts meet whose fingerprints are further apart; their kind of key.
+SMALLEST, BY_SHINGLE = 8, -1
+
+
+def shingle_hashes(text: str | None, width: int, seed: int = 42) -> np.ndarray:
+    """Hashes of the word shingles of ``text``, repeats included, as ``fingerprint`` takes them; of all words if there are fewer."""
     words = WORD.findall((text or "").encode("utf-8", "surrogatepass").translate(LOWER))
     n = max(1, len(words) - width + 1) if words else 0
     digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(b" ".join(words[i : i + width])) for i in range(n)], np.uint64).view(np.int64))
+    return np.array([digest(b" ".join(words[i : i + width]), seed) for i in range(n)], np.uint64)
+
+
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """The different ``shingle_hashes`` of ``text``, sorted."""
+    return np.unique(shingle_hashes(text, width).view(np.int64))
 
 
 def shingle_sets(text: Column, width: int) -> Column:
@@ -209,44 +227,66 @@ def shingle_sets(text: Column, width: int) -> Column:
     return of(text)
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose sets have at least ``similarity`` of their union in common."""
-    ends = durable(pairs.select(F.col("u").alias("e")).union(pairs.select(F.col("v").alias("e"))).distinct())
-    need = durable(sets.join(broadcast_if_small(ends), sets["f"] == ends["e"], "left_semi").dropDuplicates(["f"]))
-    a = need.select(F.col("f").alias("u"), F.col("s").alias("x"))
-    b = need.select(F.col("f").alias("v"), F.col("s").alias("y"))
+def shingle_heads(text: Column, width: int, keys: int) -> Column:
+    """What is kept of a text: t, a hash of its set of shingles, n, their number, f, its SimHash (0 without words), and first, the ``keys`` smallest."""
+
+    @F.pandas_udf("t long, n long, f long, first array<long>")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            rows = []
+            for x in texts:
+                h = shingle_hashes(x, width)
+                s, f = np.unique(h.view(np.int64)), _majority(h.astype(">u8").view(np.uint8).reshape(-1, 8))
+                t = xxhash.xxh64_intdigest(s.tobytes())
+                rows.append((*np.array([t, len(s), f], np.uint64).view(np.int64).tolist(), s[:keys]))
+            yield pd.DataFrame(rows, columns=["t", "n", "f", "first"])
+
+    return of(text)
+
+
+def _similar(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """The pairs (u, v) whose sets have at least ``similarity`` of their union in common; ``sets_of`` gives (t, s) for some t."""
+    ends = durable(pairs.select(F.col("u").alias("t")).union(pairs.select(F.col("v").alias("t"))).distinct())
+    need = durable(sets_of(ends))
+    a = need.select(F.col("t").alias("u"), F.col("s").alias("x"))
+    b = need.select(F.col("t").alias("v"), F.col("s").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     return pairs.join(a, "u").join(b, "v").filter(both >= similarity * (F.size("x") + F.size("y") - both)).select("u", "v")
 
 
-def similar_classes(sets: DataFrame, similarity: float, keys: int = 8) -> DataFrame:
-    """(f, root) for the sets ``sets`` (f, s sorted; a set may come several times); root stands for the component.
+def similar_classes(heads: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, limit: int = 4, depth: int = 3) -> DataFrame:
+    """(t, root) for the texts ``heads`` (see ``shingle_heads``; one row for each t); root stands for the component.
 
-    Sets are compared that share one of their ``keys`` smallest hashes: of those
-    at 0.8 one in 400,000 or so shares none.  First each with the first one under
-    its keys; then only the pairs between different groups.
+    Texts meet on the pigeonring keys of their fingerprints, keep the chains'
+    budgets and differ in at most ``limit`` bits; or, as 0.8 in common can be
+    further apart, on one of their smallest shingle hashes: of those at 0.8 one
+    in 400,000 or so shares none of 8.  All are then compared by their sets.
+    First each with the first one under its keys; then only the pairs between
+    different groups.
     """
-    heads = sets.select("f", F.size("s").alias("n"), F.slice("s", 1, keys).alias("first"))
-    heads = durable(heads.dropDuplicates(["f"]))
-    dealt = heads.select("f", "n", F.explode("first").alias("key"))
-    w = Window.partitionBy("key")
-    met = dealt.withColumns({"c": F.min(F.struct("f", "n")).over(w), "many": F.count(F.lit(1)).over(w)})
-    met = durable(met.filter("many > 1").drop("many"))
-
-    def near(m: str, n: str) -> Column:
-        return F.least(m, n) >= similarity * F.greatest(m, n)
-
-    stars = met.filter((F.col("f") != F.col("c.f")) & near("n", "c.n")).select(F.col("c.f").alias("u"), F.col("f").alias("v")).distinct()
-    groups = durable(connected_components(_similar(durable(stars), sets, similarity)))
-    named = met.join(groups, met["f"] == groups["node"], "left").select("key", "f", "n", F.coalesce("root", "f").alias("g"))
+    by_shingle = F.transform("first", lambda x: F.struct(F.lit(BY_SHINGLE).alias("k"), x.alias("key")))
+    dealt = heads.select("t", F.explode(F.concat(F.array(*_ring_rows(limit, depth)), by_shingle)).alias("r")).select("r.*", "t")
+    w = Window.partitionBy("k", "key")
+    met = durable(dealt.withColumn("many", F.count(F.lit(1)).over(w)).filter("many > 1").drop("many"))
+    met = durable(met.join(heads.select("t", "n", "f"), "t").withColumn("c", F.min(F.struct("t", "n", "f")).over(w)))
+
+    def near(m: str, n: str, f: str, g: str) -> Column:
+        bits = F.bit_count(F.col(f).bitwiseXOR(F.col(g)))
+        return (F.least(m, n) >= similarity * F.greatest(m, n)) & ((F.col("k") == BY_SHINGLE) | (bits <= limit))
+
+    stars = met.filter((F.col("t") != F.col("c.t")) & near("n", "c.n", "f", "c.f")).select(F.col("c.t").alias("u"), F.col("t").alias("v")).distinct()
+    groups = durable(connected_components(_similar(durable(stars), sets_of, similarity)))
+    named = met.join(groups, met["t"] == groups["node"], "left").select("k", "key", "t", "n", "f", F.coalesce("root", "t").alias("g"))
     named = named.withColumns({"lo": F.min("g").over(w), "hi": F.max("g").over(w)}).filter("lo != hi")
-    a, b = named.alias("a"), named.alias("b")
-    on = (F.col("a.key") == F.col("b.key")) & (F.col("a.f") < F.col("b.f")) & (F.col("a.g") != F.col("b.g")) & near("a.n", "b.n")
-    more = _similar(durable(a.join(b, on).select(F.col("a.f").alias("u"), F.col("b.f").alias("v")).distinct()), sets, similarity)
+    a, b = named.alias("a"), named.withColumnRenamed("k", "k2").alias("b")
+    ring = F.expr(f"a.k = {BY_SHINGLE} OR {_first_key(limit, depth)} = a.k")
+    on = (F.col("k") == F.col("k2")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.t") < F.col("b.t")) & (F.col("a.g") != F.col("b.g"))
+    on &= near("a.n", "b.n", "a.f", "b.f") & ring
+    more = _similar(durable(a.join(b, on).select(F.col("a.t").alias("u"), F.col("b.t").alias("v")).distinct()), sets_of, similarity)
     links = more.union(groups.select(F.col("root").alias("u"), F.col("node").alias("v")))
     comp = durable(connected_components(links))
-    alone = heads.join(comp, heads["f"] == comp["node"], "left_anti").select("f", F.col("f").alias("root"))
-    return comp.select(F.col("node").alias("f"), "root").union(alone)
+    alone = heads.join(comp, heads["t"] == comp["node"], "left_anti").select("t", F.col("t").alias("root"))
+    return comp.select(F.col("node").alias("t"), "root").union(alone)
 
 
 def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -255,16 +295,24 @@ def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width
     Linked are texts whose sets of word shingles have at least ``similarity`` of their union in common;
     texts without words are equal.
     Of rows that share this id one stays, the first by a hash of its text.  Rows with a null
-    id come after all others.  The columns are those of ``df``.
+    id come after all others.  The columns are those of ``df``.  Of each text a few
+    numbers are kept; the sets are made again of texts that are to be compared.
     """
     k, i, m = (fresh(df, s) for s in ("k", "i", "m"))
     key = F.xxhash64(doc_id, text)
-    with_f = df.select(F.col(doc_id).alias("doc_id"), key.alias("k"), shingle_sets(df[text], width).alias("s"))
-    slim = durable(with_f.withColumn("f", F.xxhash64("s")))
+    slim = df.select(F.col(doc_id).alias("doc_id"), key.alias("k"), shingle_heads(df[text], width, SMALLEST).alias("h"))
+    slim = durable(slim.select("doc_id", "k", "h.*"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "k")).alias("best")
-    least = durable(slim.groupBy("f").agg(best))
-    classes = durable(similar_classes(slim.select("f", "s"), similarity))
-    kept = classes.join(least, "f").groupBy("root").agg(F.min("best").alias("best"))
+    least = durable(slim.groupBy("t").agg(best))
+    heads = durable(slim.select("t", "n", "f", "first").dropDuplicates(["t"]))
+    at, texts = least.select("t", F.col("best.k").alias("k")), df.select(key.alias("k"), F.col(text).alias("x"))
+
+    def sets_of(ends: DataFrame) -> DataFrame:
+        places = broadcast_if_small(durable(at.join(ends, "t")))
+        return texts.join(places, "k").dropDuplicates(["t"]).select("t", shingle_sets(F.col("x"), width).alias("s"))
+
+    classes = durable(similar_classes(heads, sets_of, similarity))
+    kept = classes.join(least, "t").groupBy("root").agg(F.min("best").alias("best"))
     kept = kept.select(F.col("best.k").alias(m), F.col("best.doc_id").alias(i))
     keyed = df.withColumn(k, key)
     stay = keyed.join(kept, (F.col(k) == F.col(m)) & keyed[doc_id].eqNullSafe(F.col(i)), "left_semi")

@@ -2,6 +2,7 @@
 
 import random
 
+from tessera.llm import simhash
 from tessera.llm.simhash import one_of_each
 
 
@@ -24,3 +25,19 @@ def test_one_of_each_links_by_similarity(docs):
         want |= {i} if len(p & q) >= 0.8 * len(p | q) else {i, 100 + i}
     assert {r["doc_id"] for r in one_of_each(docs(rows)).collect()} == want
     assert 90 < len(want) < 150
+
+
+def test_one_of_each_meets_on_pigeonring_keys(docs, monkeypatch):
+    monkeypatch.setattr(simhash, "SMALLEST", 0)  # nothing meets on shingles then
+    rng = random.Random(12)
+    rows, want, far = [], set(), 0
+    for i in range(40):
+        a = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(400)]
+        b = [*a[:-1], "other"] if i % 2 else [*a[:150], *reversed(a[150:])]
+        x, y = " ".join(a), " ".join(b)
+        rows += [(i, x, "s"), (100 + i, y, "s")]
+        p, q = shingles(x), shingles(y)
+        bits = (simhash.fingerprint(x, 5) ^ simhash.fingerprint(y, 5)).bit_count()
+        far += bits > 4
+        want |= {i} if len(p & q) >= 0.8 * len(p | q) and bits <= 4 else {i, 100 + i}
+    assert {r["doc_id"] for r in one_of_each(docs(rows)).collect()} == want and 40 < len(want) < 80 and far > 0
