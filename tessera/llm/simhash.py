@@ -22,8 +22,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, durable, fresh
+from .common import broadcast_if_small, durable, fresh, settled
 from .components import connected_components
+from .lines import BAG, _above
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes(range(256)).lower()
@@ -203,6 +204,8 @@ def near_duplicates(
 
 #: Smallest shingle hashes by which texts meet whose fingerprints are further apart; their kind of key.
 SMALLEST, BY_SHINGLE = 8, -1
+#: Counts of shingle hashes that are kept of a text, seven to a long.
+BAGS = 8
 
 
 def shingle_hashes(text: str | None, width: int, seed: int = 42) -> np.ndarray:
@@ -228,9 +231,10 @@ def shingle_sets(text: Column, width: int) -> Column:
 
 
 def shingle_heads(text: Column, width: int, keys: int) -> Column:
-    """What is kept of a text: t, a hash of its set of shingles, n, their number, f, its SimHash (0 without words), and first, the ``keys`` smallest."""
+    """What is kept of a text: t, a hash of its set of shingles, n, their number, f, its SimHash (0 without words), first, the ``keys`` smallest, and their bags."""
+    names = _bag_names()
 
-    @F.pandas_udf("t long, n long, f long, first array<long>")
+    @F.pandas_udf(f"t long, n long, f long, first array<long>, {', '.join(f'{b} long' for b in names)}")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             rows = []
@@ -238,12 +242,34 @@ def shingle_heads(text: Column, width: int, keys: int) -> Column:
                 h = shingle_hashes(x, width)
                 s, f = np.unique(h.view(np.int64)), _majority(h.astype(">u8").view(np.uint8).reshape(-1, 8))
                 t = xxhash.xxh64_intdigest(s.tobytes())
-                rows.append((*np.array([t, len(s), f], np.uint64).view(np.int64).tolist(), s[:keys]))
-            yield pd.DataFrame(rows, columns=["t", "n", "f", "first"])
+                rows.append((*np.array([t, len(s), f], np.uint64).view(np.int64).tolist(), s[:keys], *_bags(s)))
+            yield pd.DataFrame(rows, columns=["t", "n", "f", "first", *names])
 
     return of(text)
 
 
+def _bag_names() -> list[str]:
+    return [f"b{i}" for i in range(BAGS)]
+
+
+def _bags(hashes: np.ndarray) -> list[int]:
+    """How many of ``hashes`` fall into each of ``BAG * BAGS`` classes, at most 127: ``BAG`` counts to a long, as ``_above`` takes them."""
+    counts = np.bincount((hashes.view(np.uint64) % (BAG * BAGS)).astype(np.int64), minlength=BAG * BAGS)
+    return (np.minimum(counts, 127).reshape(BAGS, BAG) << (8 * np.arange(BAG))).sum(axis=1).tolist()
+
+
+def _alike(a: str, b: str, similarity: float) -> Column:
+    """Whether sizes and bags of two sets allow for ``similarity``: what one has more of in a class isn't in the other.
+
+    Sets of sizes m and n have at least similarity / (1 + similarity) * (m + n) in common then.
+    Looked at in one direction, as what they have in common there is the same in both, and in two bags first.
+    """
+    m, n = F.col(a + "n"), F.col(b + "n")
+    need = similarity / (1 + similarity) * (m + n) - 1e-6
+    over = [_above(F.col(a + c), F.col(b + c)) % 255 for c in _bag_names()]
+    return (F.least(m, n) >= similarity * F.greatest(m, n)) & (m - sum(over[:2]) >= need) & (m - sum(over) >= need)
+
+
 def _similar(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
     """The pairs (u, v) whose sets have at least ``similarity`` of their union in common; ``sets_of`` gives (t, s) for some t."""
     ends = durable(pairs.select(F.col("u").alias("t")).union(pairs.select(F.col("v").alias("t"))).distinct())
@@ -260,7 +286,8 @@ def similar_classes(heads: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
     Texts meet on the pigeonring keys of their fingerprints, keep the chains'
     budgets and differ in at most ``limit`` bits; or, as 0.8 in common can be
     further apart, on one of their smallest shingle hashes: of those at 0.8 one
-    in 400,000 or so shares none of 8.  All are then compared by their sets.
+    in 400,000 or so shares none of 8.  Those whose sizes and bags allow for
+    ``similarity`` are then compared by their sets.
     First each with the first one under its keys; then only the pairs between
     different groups.
     """
@@ -268,21 +295,24 @@ def similar_classes(heads: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
     dealt = heads.select("t", F.explode(F.concat(F.array(*_ring_rows(limit, depth)), by_shingle)).alias("r")).select("r.*", "t")
     w = Window.partitionBy("k", "key")
     met = durable(dealt.withColumn("many", F.count(F.lit(1)).over(w)).filter("many > 1").drop("many"))
-    met = durable(met.join(heads.select("t", "n", "f"), "t").withColumn("c", F.min(F.struct("t", "n", "f")).over(w)))
+    names = ["t", "n", "f", *_bag_names()]
+    met = durable(met.join(heads.select(*names), "t").withColumn("c", F.min(F.struct(*names)).over(w)))
 
-    def near(m: str, n: str, f: str, g: str) -> Column:
-        bits = F.bit_count(F.col(f).bitwiseXOR(F.col(g)))
-        return (F.least(m, n) >= similarity * F.greatest(m, n)) & ((F.col("k") == BY_SHINGLE) | (bits <= limit))
+    def near(a: str, b: str) -> Column:
+        bits = F.bit_count(F.col(a + "f").bitwiseXOR(F.col(b + "f")))
+        return ((F.col("k") == BY_SHINGLE) | (bits <= limit)) & _alike(a, b, similarity)
 
-    stars = met.filter((F.col("t") != F.col("c.t")) & near("n", "c.n", "f", "c.f")).select(F.col("c.t").alias("u"), F.col("t").alias("v")).distinct()
-    groups = durable(connected_components(_similar(durable(stars), sets_of, similarity)))
-    named = met.join(groups, met["t"] == groups["node"], "left").select("k", "key", "t", "n", "f", F.coalesce("root", "t").alias("g"))
+    stars = met.filter((F.col("t") != F.col("c.t")) & near("", "c.")).select(F.col("c.t").alias("u"), F.col("t").alias("v")).distinct()
+    spark = heads.sparkSession
+    groups = settled(spark, lambda: connected_components(_similar(durable(stars), sets_of, similarity)))
+    named = met.join(groups, met["t"] == groups["node"], "left").select("k", "key", *names, F.coalesce("root", "t").alias("g"))
     named = named.withColumns({"lo": F.min("g").over(w), "hi": F.max("g").over(w)}).filter("lo != hi")
     a, b = named.alias("a"), named.withColumnRenamed("k", "k2").alias("b")
     ring = F.expr(f"a.k = {BY_SHINGLE} OR {_first_key(limit, depth)} = a.k")
     on = (F.col("k") == F.col("k2")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.t") < F.col("b.t")) & (F.col("a.g") != F.col("b.g"))
-    on &= near("a.n", "b.n", "a.f", "b.f") & ring
-    more = _similar(durable(a.join(b, on).select(F.col("a.t").alias("u"), F.col("b.t").alias("v")).distinct()), sets_of, similarity)
+    on &= near("a.", "b.") & ring
+    pairs = a.join(b, on).select(F.col("a.t").alias("u"), F.col("b.t").alias("v")).distinct()
+    more = settled(spark, lambda: _similar(durable(pairs), sets_of, similarity))
     links = more.union(groups.select(F.col("root").alias("u"), F.col("node").alias("v")))
     comp = durable(connected_components(links))
     alone = heads.join(comp, heads["t"] == comp["node"], "left_anti").select("t", F.col("t").alias("root"))
@@ -300,20 +330,26 @@ def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width
     """
     k, i, m = (fresh(df, s) for s in ("k", "i", "m"))
     key = F.xxhash64(doc_id, text)
+    kept = settled(df.sparkSession, lambda: _first_of_each(df, key, doc_id, text, width, similarity))
+    kept = kept.select(F.col("k").alias(m), F.col("doc_id").alias(i))
+    keyed = df.withColumn(k, key)
+    stay = keyed.join(kept, (F.col(k) == F.col(m)) & keyed[doc_id].eqNullSafe(F.col(i)), "left_semi")
+    return stay.dropDuplicates([k, doc_id]).select(*df.columns)
+
+
+def _first_of_each(df: DataFrame, key: Column, doc_id: str, text: str, width: int, similarity: float) -> DataFrame:
+    """(k, doc_id) of the rows that stay; k is ``key``."""
     slim = df.select(F.col(doc_id).alias("doc_id"), key.alias("k"), shingle_heads(df[text], width, SMALLEST).alias("h"))
     slim = durable(slim.select("doc_id", "k", "h.*"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "k")).alias("best")
     least = durable(slim.groupBy("t").agg(best))
-    heads = durable(slim.select("t", "n", "f", "first").dropDuplicates(["t"]))
+    heads = durable(slim.select("t", "n", "f", "first", *_bag_names()).dropDuplicates(["t"]))
     at, texts = least.select("t", F.col("best.k").alias("k")), df.select(key.alias("k"), F.col(text).alias("x"))
 
     def sets_of(ends: DataFrame) -> DataFrame:
         places = broadcast_if_small(durable(at.join(ends, "t")))
         return texts.join(places, "k").dropDuplicates(["t"]).select("t", shingle_sets(F.col("x"), width).alias("s"))
 
-    classes = durable(similar_classes(heads, sets_of, similarity))
+    classes = settled(df.sparkSession, lambda: similar_classes(heads, sets_of, similarity))
     kept = classes.join(least, "t").groupBy("root").agg(F.min("best").alias("best"))
-    kept = kept.select(F.col("best.k").alias(m), F.col("best.doc_id").alias(i))
-    keyed = df.withColumn(k, key)
-    stay = keyed.join(kept, (F.col(k) == F.col(m)) & keyed[doc_id].eqNullSafe(F.col(i)), "left_semi")
-    return stay.dropDuplicates([k, doc_id]).select(*df.columns)
+    return kept.select("best.k", "best.doc_id")
