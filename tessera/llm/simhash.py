@@ -242,7 +242,7 @@ def shingle_heads(text: Column, width: int, keys: int) -> Column:
                 h = shingle_hashes(x, width)
                 s, f = np.unique(h.view(np.int64)), _majority(h.astype(">u8").view(np.uint8).reshape(-1, 8))
                 t = xxhash.xxh64_intdigest(s.tobytes())
-                rows.append((*np.array([t, len(s), f], np.uint64).view(np.int64).tolist(), s[:keys], *_bags(s)))
+                rows.append((*np.array([t, len(s), f], np.uint64).view(np.int64).tolist(), s[:keys].copy(), *_bags(s)))  # a view would keep all of s
             yield pd.DataFrame(rows, columns=["t", "n", "f", "first", *names])
 
     return of(text)
@@ -296,13 +296,14 @@ def similar_classes(heads: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
     w = Window.partitionBy("k", "key")
     met = durable(dealt.withColumn("many", F.count(F.lit(1)).over(w)).filter("many > 1").drop("many"))
     names = ["t", "n", "f", *_bag_names()]
-    met = durable(met.join(heads.select(*names), "t").withColumn("c", F.min(F.struct(*names)).over(w)))
 
     def near(a: str, b: str) -> Column:
         bits = F.bit_count(F.col(a + "f").bitwiseXOR(F.col(b + "f")))
         return ((F.col("k") == BY_SHINGLE) | (bits <= limit)) & _alike(a, b, similarity)
 
-    stars = met.filter((F.col("t") != F.col("c.t")) & near("", "c.")).select(F.col("c.t").alias("u"), F.col("t").alias("v")).distinct()
+    met = met.join(heads.select(*names), "t").withColumn("c", F.min(F.struct(*names)).over(w))
+    met = durable(met.select("k", "key", *names, F.when((F.col("t") != F.col("c.t")) & near("", "c."), F.col("c.t")).alias("u")))
+    stars = met.filter("u is not null").select("u", F.col("t").alias("v")).distinct()
     spark = heads.sparkSession
     groups = settled(spark, lambda: connected_components(_similar(durable(stars), sets_of, similarity)))
     named = met.join(groups, met["t"] == groups["node"], "left").select("k", "key", *names, F.coalesce("root", "t").alias("g"))
