@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.text import ascii_bounds
+
 #: The default vocabulary of financial metrics.
 METRICS = (
     r"\b(revenue|revenues|sales|net\s+sales)\b",
@@ -49,16 +53,19 @@ EXPLANATION = ("why", "explain", "reason", "risk", "disclosure", "describe", "di
 
 def found(text: Column, pattern: str, group: int = 0) -> Column:
     """All matches, distinct, in order of appearance."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(ascii_bounds(pattern)), F.lit(group)))
 
 
 def metrics(text: Column, patterns: tuple[str, ...] = METRICS) -> Column:
-    every = F.regexp_extract_all(text, F.lit("(?i)" + "|".join(patterns)), F.lit(0))
+    one = "|".join(patterns)
+    if all(re.fullmatch(r"\\b\((?:[^()]|\([^()]*\))*\)\\b", p) for p in patterns):  # asked once a place, not once a pattern
+        one = r"\b(?:" + "|".join(p[2:] for p in patterns) + ")"
+    every = F.regexp_extract_all(text, F.lit(ascii_bounds("(?i)" + one)), F.lit(0))
     return F.array_distinct(F.transform(every, lambda m: F.lower(F.trim(m))))
 
 
 def years(text: Column) -> Column:
-    every = F.regexp_extract_all(text, F.lit(YEARS), F.lit(0))
+    every = F.regexp_extract_all(text, F.lit(ascii_bounds(YEARS)), F.lit(0))
     return F.array_distinct(F.transform(every, lambda y: F.regexp_extract(y, "((?:19|20)[0-9]{2})", 1)))
 
 
@@ -67,7 +74,7 @@ def companies(text: Column) -> Column:
 
 
 def filing_types(text: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(FILINGS), F.lit(0)), lambda t: F.upper(t)))
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(ascii_bounds(FILINGS)), F.lit(0)), lambda t: F.upper(t)))
 
 
 def section_values(section: Column, filing_type: Column) -> Column:
@@ -78,7 +85,7 @@ def section_values(section: Column, filing_type: Column) -> Column:
 
 def years_with_ranges(text: Column, longest: int = 10) -> Column:
     """Years, and all between the ends of ranges like 2021-23 or 2021 to 2023."""
-    spans = F.regexp_extract_all(text, F.lit(r"(?:19|20)[0-9]{2}\s*(?:-|to)\s*(?:(?:19|20)[0-9]{2}|[0-9]{2})\b"), F.lit(0))
+    spans = F.regexp_extract_all(text, F.lit(ascii_bounds(r"(?:19|20)[0-9]{2}\s*(?:-|to)\s*(?:(?:19|20)[0-9]{2}|[0-9]{2})\b")), F.lit(0))
 
     def between(s: Column) -> Column:
         a = F.substring(s, 1, 4).cast("int")
@@ -186,7 +193,7 @@ def scoring_entities(text: Column) -> dict[str, Column]:
 
 def years_with_ends(text: Column) -> Column:
     """Years, and both ends of ranges like 2021-23, but none between them."""
-    spans = F.regexp_extract_all(text, F.lit(r"(?:19|20)[0-9]{2}\s*[-–]\s*[0-9]{2,4}\b"), F.lit(0))
+    spans = F.regexp_extract_all(text, F.lit(ascii_bounds(r"(?:19|20)[0-9]{2}\s*[-–]\s*[0-9]{2,4}\b")), F.lit(0))
 
     def last(s: Column) -> Column:
         b = F.regexp_extract(s, "([0-9]+)$", 1)
@@ -209,8 +216,8 @@ def spaced(value: Column) -> Column:
 
 def aliases_in(text: Column, aliases: list[str]) -> Column:
     """The aliases that stand in a text as whole words, in the order of the list."""
-    low = F.lower(text)
-    return F.filter(F.array(*map(F.lit, aliases)), lambda a: F.rlike(low, F.concat(F.lit(r"\b"), a, F.lit(r"\b"))))
+    low, end = F.lower(text), F.lit(ascii_bounds(r"\b"))  # whole form: aliases are not patterns of ours
+    return F.filter(F.array(*map(F.lit, aliases)), lambda a: F.rlike(low, F.concat(end, a, end)))
 
 
 def overlaps_name(a: Column, b: Column) -> Column:

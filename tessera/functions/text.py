@@ -6,10 +6,24 @@ Empty strings mean missing in chunk columns.  A null gives a null.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def ascii_bounds(pattern: str) -> str:
+    r"""``pattern`` for Spark, with ``\\b`` at the ends of runs of a-z, A-Z, 0-9 and _ only, as RE2 reads it.
+
+    Java's own also sees letters beyond these: it has no word ``dollar`` in
+    ``\u00f1dollar``.  What begins with a word's character takes the short form;
+    an alternative like ``%`` at the beginning of a group takes the whole one.
+    """
+    either = r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))"
+    whole = re.sub(r"\\b(?=$|[|)]|\((?:[^()]*\|)?[^\w(\[?\\])", lambda m: either, pattern)
+    return whole.replace(r"\b", r"(?<!\w)")
+
+
 def words(text: Column) -> Column:
     """Lower-cased pieces between white space, in order, repeats kept."""
     return F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")

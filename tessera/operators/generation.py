@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.entities import NUMBERS, UNITS, years
+from tessera.functions.text import ascii_bounds
 
 
 def token_budget(df: DataFrame, query: str, order: str, tokens: str, budget: int) -> DataFrame:
@@ -104,7 +105,7 @@ def relaxed_match(a: Column, b: Column) -> Column:
 
 
 def numbers(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(NUMBERS), F.lit(0)), lambda x: F.trim(x))
+    return F.transform(F.regexp_extract_all(text, F.lit(ascii_bounds(NUMBERS)), F.lit(0)), lambda x: F.trim(x))
 
 
 def normalize_number(n: Column) -> Column:
@@ -140,7 +141,7 @@ def tolerance_match(got: Column, reference: Column) -> Column:
 
 
 def units(text: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(UNITS), F.lit(1)), lambda u: F.lower(u)))
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(ascii_bounds(UNITS)), F.lit(1)), lambda u: F.lower(u)))
 
 
 def evaluate_answers(df: DataFrame, answer: str, gold: str) -> DataFrame:
@@ -209,7 +210,7 @@ def plain_answer(text: Column) -> Column:
 
 def begins_with_abstention(answer: Column) -> Column:
     """The abstention stands at the beginning, whatever follows."""
-    return answer.rlike(r"(?i)^\s*insufficient[\s_]+evidence\b")
+    return answer.rlike(ascii_bounds(r"(?i)^\s*insufficient[\s_]+evidence\b"))
 
 
 def set_f1(a: Column, b: Column) -> Column:

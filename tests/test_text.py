@@ -68,3 +68,15 @@ def test_canonical_names(spark):
     assert one(spark, E.canonical_first(F.col("t"), aliases), t="Net   Sales") == "net revenue"
     assert one(spark, E.canonical_first(F.col("t"), aliases), t="total net sales") == "revenue"
     assert one(spark, E.canonical_exact(F.col("t"), dict(aliases)), t="other") == "other"
+
+
+def test_words_end_at_letters_beyond_ascii_as_in_sql(spark):
+    from tessera.operators import generation
+
+    t = F.col("t")
+    assert one(spark, generation.units(t), t="queñdollar ciópercenté dollary 5%x 5% x") == ["dollar", "percent", "%"]
+    assert one(spark, E.metrics(t), t="ñrevenue") == ["revenue"]
+    assert one(spark, E.years(t), t="é2021é, 20212") == ["2021"]
+    assert one(spark, generation.numbers(t), t="ñ12 a7") == ["12"]
+    assert one(spark, E.aliases_in(t, ["cash"]), t="ñcash") == ["cash"]
+    assert one(spark, generation.begins_with_abstention(t), t="Insufficient evidenceé")
