@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import expansion, graph, metrics, rerank, retrieval, training
+from tessera.operators.durable import broadcast_if_small, durable
 from tessera.plans.retrieval_queries import table
 
 
@@ -33,15 +34,16 @@ def _chunks(spark, d):
 
 
 def _ranked(spark, d, k=50):
-    """query_id, chunk_id, score, rank."""
+    """query_id, chunk_id, score, rank: the best of a region once, for each of its nations."""
     q = table(spark, d, "nation").select(F.col("n_name").alias("query_id"), F.col("n_regionkey").alias("region"))
     c = _chunks(spark, d).select("chunk_id", "region", F.col("value").alias("score"))
-    return retrieval.top_k(c.join(q, "region").select("query_id", "chunk_id", "score"), "query_id", "chunk_id", k)
+    best = retrieval.top_k(c, "region", "chunk_id", k)
+    return durable(best.join(q, "region").select("query_id", "chunk_id", "score", "rank"))
 
 
 def _candidates(spark, d):
     c = _chunks(spark, d).drop("doc_id", "region", "word_offset", "value")
-    return _ranked(spark, d).join(c, "chunk_id").select(
+    return c.join(broadcast_if_small(_ranked(spark, d)), "chunk_id").select(
         "query_id", "chunk_id", "score", "rank",
         F.array("query_id").alias("q_companies"), F.array(F.lit("1995")).alias("q_years"), F.array(F.lit("F")).alias("q_metrics"),
         F.array("company").alias("companies"), F.array("filing_year").alias("years"), F.array("metric").alias("metrics"), "section",

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions import entities as E
 from tessera.operators import evidence_sets as S
 from tessera.operators import expansion, generation, graph, retrieval, support
+from tessera.operators.durable import broadcast_if_small
 from tessera.plans import answer_queries as A
 from tessera.plans.evidence_queries import _ranked
 from tessera.plans.retrieval_queries import table
@@ -59,7 +60,7 @@ def _asked(spark, d):
 
 def _pairs(spark, d):
     """Questions with their ranked passages, and the entities of both."""
-    x = _ranked(spark, d).join(_passages(spark, d), "chunk_id").join(_asked(spark, d), "query_id")
+    x = _passages(spark, d).join(broadcast_if_small(_ranked(spark, d)), "chunk_id").join(_asked(spark, d), "query_id")
     return support.with_passage(x, "text")
 
 

@@ -216,3 +216,36 @@ def test_graph_models_have_the_right_shape_and_use_edges(spark):
     edges = spark.createDataFrame([("q", "n0", "n1", 1.0)], "query_id string, src string, dst string, weight double")
     got = {r["node_id"]: r["score"] for r in models.score_subgraphs(nodes, edges, lambda f, adj: models.gcn(f, adj, [w], head)).collect()}
     assert np.allclose([got[f"n{i}"] for i in range(4)], models.gcn(x, a, [w], head))
+
+
+def _evidence(spark):
+    """Three seeds of one query among 400 chunks of 40 documents."""
+    rng = np.random.default_rng(7)
+    data = []
+    for i in range(400):
+        doc = int(rng.integers(40))
+        names = ["revenue", "cash flow", "eps"]
+        data.append((f"c{i:03d}", f"d{doc}", f"co{doc % 3}" if doc % 7 else None, str(1994 + int(rng.integers(3))), [names[k] for k in range(3) if rng.random() < 0.6]))
+    chunks = spark.createDataFrame(data, "chunk_id string, doc_id string, company string, filing_year string, metrics array<string>")
+    seeds = spark.createDataFrame([("q", "c005", 3.0, 1), ("q", "c017", 2.0, 2), ("p", "c100", -1.0, 1), ("p", "c300", 1.0, 2)], "query_id string, chunk_id string, score double, rank int")
+    asked = spark.createDataFrame([("q", "", ["1995"], ["revenue", "eps"]), ("p", "", ["1994"], ["cash flow"])], "query_id string, question string, q_years array<string>, q_metrics array<string>")
+    return seeds, chunks, asked
+
+
+@pytest.mark.parametrize("relation", [expansion.same_metric, expansion.same_year, expansion.same_company_year])
+@pytest.mark.parametrize("budget", [1, 4, 10])
+def test_expansion_within_a_budget_is_the_head_of_the_whole(spark, relation, budget):
+    seeds, chunks, asked = _evidence(spark)
+    whole = relation(seeds, chunks, asked).collect()
+    want = []
+    for q in ("p", "q"):
+        best = sorted((r for r in whole if r["query_id"] == q), key=lambda r: (-round(r["priority"], 10), r["chunk_id"]))
+        want += best[:budget]
+    assert rows(relation(seeds, chunks, asked, budget)) == sorted(map(tuple, want), key=str)
+
+
+def test_expansion_in_a_budget_meets_few_chunks(spark):
+    """As many chunks of a group as its budget, not all, go into the join with the seeds."""
+    chunks = spark.range(5000).selectExpr("concat('c', lpad(id, 5, '0')) AS chunk_id", "concat('d', id) AS doc_id", "'co' AS company", "'1995' AS filing_year", "array('eps') AS metrics")
+    seed = spark.createDataFrame([("c00000", "d0")], "seed_id string, seed_doc_id string")
+    assert expansion._first(chunks, seed, ["company", "filing_year", "metrics"], 10).distinct().count() == 11
