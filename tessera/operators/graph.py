@@ -67,9 +67,11 @@ def build_edges(chunks: DataFrame, use_weights: bool = True) -> DataFrame:
         ("company-has-filing", "company", "filing"),
         ("filing-has-section", "filing", "section"),
     ]
-    rows = F.array(*[F.struct(i[a].alias("src"), i[b].alias("dst"), F.lit(t).alias("edge_type")) for t, a, b in kinds])
-    # a chunk's edges are distinct as its id is; the others are made so before they are counted in
-    return weighted(chunks.select(F.explode(rows).alias("e")).select("e.*").distinct(), use_weights)
+    rows = lambda some: F.array(*[F.struct(i[a].alias("src"), i[b].alias("dst"), F.lit(t).alias("edge_type")) for t, a, b in some])
+    # a chunk's edges are distinct as its id is; only the others are made so
+    own = chunks.select(F.explode(rows(kinds[:4])).alias("e")).select("e.*")
+    shared = chunks.select(F.explode(rows(kinds[4:])).alias("e")).select("e.*").distinct()
+    return weighted(own.union(shared), use_weights)
 
 
 def weighted(edges: DataFrame, use_weights: bool = True) -> DataFrame:

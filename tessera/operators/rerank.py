@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.durable import broadcast_if_small, durable
+
 KINDS = ("company", "year", "metric")
 PLURAL = {"company": "companies", "year": "years", "metric": "metrics"}
 #: Weights of the constraint score, of the four fused signals, and of the path rules.
@@ -77,8 +79,18 @@ def typed_paths(edges: DataFrame, candidates: DataFrame, most: int = 8) -> DataF
     ``candidates`` have q_companies, q_years, q_metrics; without values of a
     kind the query has neither matches nor conflicts of it.
     """
-    e = edges.select("src", "dst", "edge_type").distinct()
-    q = candidates.select("query_id", "chunk_id", "q_companies", "q_years", "q_metrics")
+    q = durable(candidates.select("query_id", "chunk_id", "q_companies", "q_years", "q_metrics"))
+    ids = durable(q.select("chunk_id").distinct())
+    near = edges.filter(F.col("edge_type") == "semantic-similar").select("src", "dst")
+    both = near.union(near.select("dst", "src")).toDF("chunk_id", "n")
+    met = durable(both.join(broadcast_if_small(ids), "chunk_id", "left_semi").distinct())
+    # edges of the candidates and their neighbours, and those between entities, are all that any path takes
+    wanted = durable(ids.union(met.select("n")).distinct().toDF("at"))
+    chunk = F.when(F.col("edge_type") == "section-has-chunk", F.col("dst")).otherwise(F.col("src"))
+    theirs = edges.filter(F.col("edge_type").isin("chunk-belongs-to-filing", "section-has-chunk", "chunk-mentions-metric", "chunk-mentions-year"))
+    theirs = theirs.select("src", "dst", "edge_type", chunk.alias("at")).join(broadcast_if_small(wanted), "at", "left_semi")
+    entities = edges.filter(F.col("edge_type").isin("filing-has-section", "company-has-filing"))
+    e = durable(theirs.drop("at").union(entities.select("src", "dst", "edge_type")).distinct())
 
     def of(kind: str) -> DataFrame:
         return e.filter(F.col("edge_type") == kind)
@@ -96,9 +108,7 @@ def typed_paths(edges: DataFrame, candidates: DataFrame, most: int = 8) -> DataF
     has = lambda values, c: F.when(F.size(values) == 0, None).otherwise(F.array_contains(values, c))
     metric = q.join(of("chunk-mentions-metric").select(F.col("src").alias("chunk_id"), F.col("dst").alias("m")), "chunk_id")
     year = q.join(of("chunk-mentions-year").select(F.col("src").alias("chunk_id"), F.col("dst").alias("y")), "chunk_id")
-    near = of("semantic-similar")
-    both = near.select("src", "dst").union(near.select("dst", "src")).distinct()
-    support = q.join(both.select(F.col("src").alias("chunk_id"), F.col("dst").alias("n")), "chunk_id")
+    support = q.join(met, "chunk_id")
     told = [
         (of("chunk-mentions-metric").select(F.col("src").alias("n"), value(F.col("dst")).alias("v")), "q_metrics"),
         (of("chunk-mentions-year").select(F.col("src").alias("n"), value(F.col("dst")).alias("v")), "q_years"),
@@ -136,6 +146,7 @@ def path_arrays(paths: DataFrame, most: int = 8) -> DataFrame:
     padding (0), unknown (1) and none (2); they are a handful, not data, so
     their table is broadcast.  Paths come in order of type and target.
     """
+    paths = durable(paths)
     kinds = paths.select("path_type").distinct().withColumn("type_id", F.row_number().over(Window.orderBy("path_type")) + 2)
     x = paths.join(F.broadcast(kinds), "path_type")
     n = Window.partitionBy("query_id", "chunk_id").orderBy("path_type", "target", "kind")

@@ -249,3 +249,15 @@ def test_expansion_in_a_budget_meets_few_chunks(spark):
     chunks = spark.range(5000).selectExpr("concat('c', lpad(id, 5, '0')) AS chunk_id", "concat('d', id) AS doc_id", "'co' AS company", "'1995' AS filing_year", "array('eps') AS metrics")
     seed = spark.createDataFrame([("c00000", "d0")], "seed_id string, seed_doc_id string")
     assert expansion._first(chunks, seed, ["company", "filing_year", "metrics"], 10).distinct().count() == 11
+
+
+def test_paths_read_the_edges_a_few_times(spark):
+    chunks = spark.createDataFrame([(f"c{i}", "co", "10-K", "1995", "s", "F") for i in range(20)], "chunk_id string, company string, filing_type string, filing_year string, section string, metric string")
+    near = spark.createDataFrame([("c1", "c2", "semantic-similar", 0.3)], "src string, dst string, edge_type string, weight double")
+    edges = graph.build_edges(chunks).union(near)
+    read, n = spark.sparkContext.accumulator(0), edges.count()
+    counted = spark.createDataFrame(edges.rdd.map(lambda r: (read.add(1), r)[1]), edges.schema)
+    asked = spark.createDataFrame([("q", "c1", ["co"], ["1995"], ["F"])], "query_id string, chunk_id string, q_companies array<string>, q_years array<string>, q_metrics array<string>")
+    got = rows(rerank.typed_paths(counted, asked).select("path_type", "target"))
+    assert got == [("chunk_metric", "metric::F"), ("chunk_year", "year::1995"), ("company_filing_section", "company::co"), ("filing_section", "section::s"), ("semantic_support", "c2")]
+    assert read.value <= 4 * n
