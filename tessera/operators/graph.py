@@ -259,13 +259,15 @@ def pagerank_converged(edges: DataFrame, seeds: DataFrame, alpha: float = 0.85,
     return grouped.applyInPandas(rank, f"query_id {kind}, node_id string, score double")
 
 
-def knn_edges(vectors: DataFrame, key: str, vector: str, m: int, least: float, block: int = 2_048) -> DataFrame:
+def knn_edges(vectors: DataFrame, key: str, vector: str, m: int, least: float, block: int = 32_768) -> DataFrame:
     """Each vector's ``m`` nearest by cosine that reach ``least``, itself excluded: src, dst, similarity.
 
-    Vectors are cut into blocks of rows; every pair of blocks is multiplied in
-    one call and hands on m rows a vector, so pairs of vectors are never rows.
+    Vectors are cut into blocks of rows; every pair of blocks meets in one
+    task, which multiplies pieces of it and hands on m rows a vector, so pairs
+    of vectors are never rows.  A vector is copied once a block: with all pairs
+    compared, time and what is shuffled grow with the square, memory doesn't.
     """
-    from tessera.operators.retrieval import top_k
+    from tessera.operators.retrieval import CELLS, best_cells, top_k
 
     n = max(1, -(-vectors.count() // block))
     part = F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
@@ -280,14 +282,18 @@ def knn_edges(vectors: DataFrame, key: str, vector: str, m: int, least: float, b
         x, y = (np.stack(v.to_numpy()).astype(np.float64) for v in (a["av"], c["cv"]))
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
         y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300)
-        s = x @ y.T
-        s[a["ak"].to_numpy()[:, None] == c["ck"].to_numpy()[None, :]] = -np.inf
-        keep = min(m, len(c))
-        top = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
-        rows = np.repeat(np.arange(len(a)), keep)
-        got = s[rows, top.ravel()]
-        ok = got >= least
-        return pd.DataFrame({"src": a["ak"].to_numpy()[rows][ok], "dst": c["ck"].to_numpy()[top.ravel()][ok], "score": got[ok]})
+        names, order = c["ck"].to_numpy(), np.argsort(np.argsort(c["ck"].to_numpy(), kind="stable"), kind="stable")
+        step = max(1, CELLS // len(c))
+        found = []
+        for i in range(0, len(a), step):
+            own, s = a["ak"].to_numpy()[i : i + step], x[i : i + step] @ y.T
+            if a["ab"].iloc[0] == c["cb"].iloc[0]:
+                s[own[:, None] == names[None, :]] = -np.inf
+            rows, cols = best_cells(s, order, m)
+            got = s[rows, cols]
+            ok = got >= least
+            found.append(pd.DataFrame({"src": own[rows[ok]], "dst": names[cols[ok]], "score": got[ok]}))
+        return pd.concat(found)
 
     kind = dict(vectors.dtypes)[key]
     met = left.groupBy("ab", "ao").cogroup(right.groupBy("cb", "co")).applyInPandas(near, f"src {kind}, dst {kind}, score double")

@@ -261,3 +261,20 @@ def test_paths_read_the_edges_a_few_times(spark):
     got = rows(rerank.typed_paths(counted, asked).select("path_type", "target"))
     assert got == [("chunk_metric", "metric::F"), ("chunk_year", "year::1995"), ("company_filing_section", "company::co"), ("filing_section", "section::s"), ("semantic_support", "c2")]
     assert read.value <= 4 * n
+
+
+def test_products_come_in_pieces_with_ties_to_the_smaller_id(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(6, 3)).round(1)
+    data = [(int(i), [float(x) for x in base[i % 6]]) for i in rng.permutation(60)]  # ten of each
+    v = spark.createDataFrame(data, "id long, embedding array<double>")
+    m = dict(data)
+    dots = {i: sorted(m, key=lambda j: (-round(float(np.dot(m[i], m[j])), 8), j))[:4] for i in range(8)}
+    monkeypatch.setattr(retrieval, "CELLS", 50)
+    top = retrieval.dense(v, v.filter("id < 8").withColumnRenamed("id", "q"), "id", "q", 4, block=3).orderBy("q", "rank").toPandas()
+    assert {q: list(x["id"]) for q, x in top.groupby("q")} == dots
+    same = {i: [j for j in sorted(m) if j % 6 == i % 6 and j != i][:4] for i in m}
+    e = graph.knn_edges(v, "id", "embedding", 4, 0.999, block=25).orderBy("src", "dst").toPandas()
+    assert {i: list(x["dst"]) for i, x in e.groupby("src")} == same
+    s = np.array([[1.0, 1.0 + 1e-12, 0.5]])
+    assert [c.tolist() for c in retrieval.best_cells(s, np.array([0, 1, 2]), 1)] == [[0], [0]]
