@@ -278,3 +278,21 @@ def test_products_come_in_pieces_with_ties_to_the_smaller_id(spark, monkeypatch)
     assert {i: list(x["dst"]) for i, x in e.groupby("src")} == same
     s = np.array([[1.0, 1.0 + 1e-12, 0.5]])
     assert [c.tolist() for c in retrieval.best_cells(s, np.array([0, 1, 2]), 1)] == [[0], [0]]
+
+
+@pytest.mark.parametrize("batch", ["3", "10000"])
+def test_documents_are_scored_where_they_lie(spark, batch):
+    """The same ranking as from all pairs, with documents cut by batches and queries by blocks, and no row a pair."""
+    rng = np.random.default_rng(4)
+    text = lambda n: " ".join(f"w{int(x)}" for x in rng.integers(0, 12, n))
+    docs = spark.createDataFrame([(i, text(int(rng.integers(0, 9)))) for i in range(40)] + [(40, None)], "d long, text string")
+    queries = spark.createDataFrame([(f"q{i}", text(3)) for i in range(5)] + [("none", "zz")], "q string, text string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        want = retrieval.top_k(retrieval.bm25(docs, queries, "d", "q"), "q", "d", 4)
+        got = retrieval.bm25_top(docs, queries, "d", "q", 4)
+        cut = lambda df: rows(df.select("q", "d", F.round("score", 8).alias("s"), "rank"))
+        assert cut(got) == cut(want)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
